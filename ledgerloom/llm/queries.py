@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, line_dedup, quality, sharding, simhash
+from . import bpe, decontaminate, licenses, line_dedup, pages, personal, quality, repeats, sharding, simhash
 
 #: Shards and slots of the placement query.
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -60,6 +60,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), _sorted_join("base_labels").alias("base_labels"), _sorted_join("labels").alias("labels"), "score")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract_main(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["lo"].cast("string"), x["hi"].cast("string"))), ",")
+    return found.select("doc_id", *map(number, personal.KINDS), _sha(listed("base")).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -74,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3,
     "op4_bpe_codec": op4,
     "op5_license_scan": op5,
+    "op6_html_extraction": op6,
+    "op7_suffix_array_dedup": op7,
+    "op8_personal_data": op8,
     "op9_simhash_near_dedup": op9,
     "op10_sharding": op10,
 }

@@ -71,7 +71,7 @@ def _contexts(data: np.ndarray, doc_ends: np.ndarray, least: int) -> tuple[np.nd
             least_at = np.minimum(least_at[: n - width + 1], least_at[width - span :][: n - width + 1])
         at = (least_at & _PLACE).astype(np.int64)
         at[bad[lo:hi]] = -1
-        starts = np.concatenate([[0], np.flatnonzero((np.diff(at) != 0) | np.diff(np.searchsorted(doc_ends, np.arange(lo, hi), "right")).astype(bool)) + 1]) if False else np.concatenate([[0], np.flatnonzero(np.diff(at) != 0) + 1])
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(at) != 0) + 1])
         size = np.diff(np.append(starts, hi - lo))
         keep = at[starts] >= 0
         starts, size = starts[keep], size[keep]
@@ -152,13 +152,15 @@ def suffix_order(data: np.ndarray, left: np.ndarray, least: int) -> np.ndarray:
     return rank
 
 
-def common_prefixes(data: np.ndarray, before: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
     """For each place its common prefix (to `least`) with the place that stands before it in the order, by Kasai's walk.
 
-    before: that place, -1 for the first and -2 for places outside the order. Contexts (starts, sizes) walk in parallel:
-    from one place to the next the prefix shrinks by one at most, if the neighbour's next place is in the order too.
+    Contexts (starts, sizes) walk in parallel: from one place to the next the prefix shrinks by one at most, if the
+    neighbour's next place is in the order, and before the own one (ties beyond `least` bytes may turn round).
     """
     eight = _packed(data)
+    nth = np.full(len(data) + 1, -1, np.int64)
+    nth[order] = np.arange(len(order))
     out = np.zeros(len(data), np.int64)
     lanes = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[lanes], sizes[lanes]
@@ -166,7 +168,7 @@ def common_prefixes(data: np.ndarray, before: np.ndarray, starts: np.ndarray, si
     for step in range(int(sizes[0]) if len(sizes) else 0):
         n = int(np.searchsorted(-sizes, -step, "left"))  # contexts with more than `step` strings come first
         at = starts[:n] + step
-        mate = before[at]
+        mate = np.where(nth[at] > 0, order[nth[at] - 1], -1)
         h = np.where(mate >= 0, have[:n], 0)
         go = np.flatnonzero(mate >= 0)
         while len(go):
@@ -177,10 +179,10 @@ def common_prefixes(data: np.ndarray, before: np.ndarray, starts: np.ndarray, si
             h[go] += 8
             if len(rest):
                 x = eight[at[rest] + h[rest]] ^ eight[mate[rest] + h[rest]]
-                h[rest] += (63 - np.floor(np.log2(x.astype(np.float64))).astype(np.int64)).clip(0, 63) // 8
+                h[rest] += sum((x < np.uint64(1 << bits)).astype(np.int64) for bits in range(8, 64, 8))  # equal bytes in front
         h = np.minimum(h, least)
         out[at] = h
-        onward = (mate >= 0) & (before[np.minimum(mate + 1, len(before) - 1)] > -2)
+        onward = (mate >= 0) & (nth[mate + 1] >= 0) & (nth[mate + 1] < nth[at + 1])
         have = have.copy()
         have[:n] = np.where(onward, np.maximum(h - 1, 0), 0)
     return out
@@ -195,9 +197,7 @@ def _shard(contexts: list[bytes], ids: np.ndarray, places: np.ndarray, least: in
     rank = suffix_order(data, left, least)
     at = np.flatnonzero(left >= least)
     order = at[np.argsort(rank[at], kind="stable")]
-    before = np.full(len(data), -2, np.int64)
-    before[order] = np.concatenate([[-1], order[:-1]])
-    prefix = common_prefixes(data, before, starts, size - least + 1, least)
+    prefix = common_prefixes(data, order, starts, size - least + 1, least)
     head = prefix[order] < least
     first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     row = np.repeat(np.arange(len(size)), size)
