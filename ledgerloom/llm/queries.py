@@ -99,4 +99,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TRIM = r"nullif(regexp_replace(line, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g'), '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": f"""WITH p AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1 HAVING count(*) >= 20),
+e AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+k AS (SELECT *, {_TRIM} AS kept FROM e),
+h AS (SELECT source, kept, count(DISTINCT doc_id) AS held FROM k WHERE kept IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT h.source, kept FROM h JOIN p USING (source) WHERE held > 1 AND held > 0.08::DOUBLE * pages),
+m AS (SELECT k.*, b.kept IS NOT NULL AS bad FROM k LEFT JOIN b ON k.source = b.source AND k.kept = b.kept),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped, string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT bad) AS text FROM m GROUP BY 1)
+SELECT d.doc_id, d.source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(g.text, '')) AS kept_sha256 FROM documents d LEFT JOIN g USING (doc_id)""",
+}
