@@ -103,7 +103,7 @@ def top_only(c: Column) -> Column:
 def name_variants(c: Column) -> Column:
     """A bilingual name's parts, cleaned, distinct and sorted."""
     parts = F.split(c, r"\s*[/,;()]\s*|\s+-\s+")
-    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, clean_value), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, lambda x: F.btrim(clean_value(x), F.lit(" -"))), lambda x: x != "")))
 
 
 def stated_year(c: Column) -> Column:
