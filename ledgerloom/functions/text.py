@@ -121,3 +121,38 @@ def prose(c: Column) -> Column:
 def saturation_claim(c: Column, claim: str, negation: str) -> Column:
     """Whether some sentence makes the claim without a negation."""
     return F.exists(F.split(c, r"(?<=[.!?])\s+"), lambda s: s.rlike(claim) & ~s.rlike(negation))
+
+
+def sections(c: Column, level: int = 2) -> Column:
+    """A document's sections as a map of heading to body, by headings of the level; the first of equal headings counts."""
+    mark = "#" * level
+    parts = F.filter(F.split(F.concat(F.lit("\n"), c), rf"\n(?={mark} )"), lambda x: x.startswith(f"{mark} "))
+    pairs = F.transform(parts, lambda x: F.struct(F.trim(F.regexp_extract(x, rf"^{mark} ([^\n]*)", 1)).alias("key"), F.trim(F.regexp_replace(x, r"^[^\n]*\n?", "")).alias("value")))
+    return F.aggregate(pairs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, p: F.when(F.map_contains_key(m, p["key"]), m).otherwise(F.map_concat(m, F.map_from_arrays(F.array(p["key"]), F.array(p["value"])))))
+
+
+def field_value(block: Column, name: str) -> Column:
+    """The value of a `Name: value` line; null if the block has none."""
+    v = F.regexp_extract(block, rf"(?im)^\s*(?:[-*]\s*)?{name}\s*:\s*(.+?)\s*$", 1)
+    return F.when(v != "", v)
+
+
+def dash_lines(c: Column) -> Column:
+    """Numbers (from 1) of the lines that hold an em or en dash."""
+    return F.filter(F.transform(F.split(c, "\n"), lambda x, i: F.when(x.rlike("[–—]"), i + 1)), lambda x: x.isNotNull())
+
+
+def figures(c: Column, floor: int = 1000) -> Column:
+    """Whole figures of the text from `floor` on, thousands grouped by commas, points or spaces; distinct and sorted."""
+    found = F.regexp_extract_all(c, F.lit(r"(?<![\d.,])(\d{1,3}(?:[.,  ]\d{3})+|\d+)(?![\d])"), 1)
+    values = F.transform(found, lambda x: F.regexp_replace(x, r"[^\d]", "").try_cast("long"))
+    return F.array_sort(F.array_distinct(F.filter(values, lambda x: x >= floor)))
+
+
+def short_motorway(c: Column, limit: int = 40) -> Column:
+    """Road, junction and distance of a prose location, as `M5 J18 2 miles`; null if it names no junction."""
+    road, junction = r"(?:M\d+(?:/M\d+)?|A\d+(?:\(M\))?)", r"(?:J|Jct|Junction)\s*(\d+[A-Za-z]?(?:/\d*[A-Za-z]?)?)"
+    a, b = rf"(?i)\b{junction}\s*(?:of\s+the\s+)?({road})", rf"(?i)\b({road})\s*[, ]\s*{junction}"
+    first = F.when(c.rlike(a), F.concat_ws(" ", F.upper(F.regexp_extract(c, a, 2)), F.concat(F.lit("J"), F.upper(F.regexp_extract(c, a, 1))))).when(c.rlike(b), F.concat_ws(" ", F.upper(F.regexp_extract(c, b, 1)), F.concat(F.lit("J"), F.upper(F.regexp_extract(c, b, 2)))))
+    far = F.regexp_extract(c, r"(?i)(\d+(?:\.\d+)?\s*(?:miles?|mi|km))\b", 1)
+    return F.substring(F.when(far != "", F.concat_ws(" ", first, far)).otherwise(first), 1, limit)
