@@ -10,8 +10,8 @@ from .unknown import clean_value
 #: Folded letters, legal forms, street words and words without identity.
 FOLD = ("àáâãäåāăąçćčďđèéêëēęěìíîïīłñńňòóôõöøōŕřśšşťţùúûüūůűýÿźžż", "aaaaaaaaacccddeeeeeeeiiiiilnnnooooooorrsssttuuuuuuuyyzzz")
 LEGAL = r"\b(?:gmbh|ag|kg|ltd|limited|plc|llc|inc|bv|nv|sa|sas|sarl|srl|spa|sro|as|oy|ab|sp\.? ?z ?o\.? ?o)\b\.?"
-STREET = {"str": "street", "st": "street", "rd": "road", "ave": "avenue", "blvd": "boulevard", "ln": "lane", "dr": "drive", "ul": "street", "strasse": "street"}
-ADDRESS_NOISE = ["unit", "building", "floor", "block", "plot", "the", "of", "at", "no", "nr"]
+STREET = {"str": "street", "st": "street", "strasse": "strasse", "rd": "road", "ave": "avenue", "av": "avenue", "ln": "lane", "blvd": "boulevard"}
+ADDRESS_NOISE = ["unit", "units", "building", "bldg", "warehouse", "dc", "block", "plot", "the", "no", "nr", "number", "ste", "suite", "floor", "fl"]
 GENERIC = ["park", "logistics", "industrial", "warehouse", "centre", "center", "business", "estate", "distribution", "unit", "the", "of", "and"]
 NOT_PDF = ["html", "htm", "aspx", "php", "xlsx", "docx", "jpg", "png", "zip", "csv"]
 
@@ -46,7 +46,8 @@ def distinctive_tokens(c: Column) -> Column:
 def normalize_address(c: Column) -> Column:
     """Sorted distinct tokens with street words unified and noise left out."""
     known = F.create_map(*[F.lit(x) for kv in STREET.items() for x in kv])
-    named = F.transform(tokens(c), lambda t: F.coalesce(F.try_element_at(known, t), t))
+    words = F.filter(F.split(F.regexp_replace(fold(c), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda t: t != "")
+    named = F.transform(words, lambda t: F.coalesce(F.try_element_at(known, t), t))
     return F.array_join(F.array_sort(F.array_distinct(F.filter(named, lambda t: ~t.isin(ADDRESS_NOISE)))), " ")
 
 

@@ -104,7 +104,7 @@ def token_sets(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(text.distinctive_tokens(F.col("p_name")), " ").alias("tokens"))
 
 
-@query("""SELECT c_custkey, array_to_string(list_sort(list_distinct(string_split('road ' || c_custkey % 90 || ' ' || lower(replace(n_name, '_', ' ')), ' '))), ' ') AS address FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+@query("""SELECT c_custkey, array_to_string(list_sort(list_distinct(string_split('road ' || c_custkey % 90 || ' ' || lower(n_name), ' '))), ' ') AS address FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def address_key(t: Tables) -> DataFrame:
     said = F.concat(F.lit("No. "), F.col("c_custkey") % 90, F.lit(" Rd., "), F.col("n_name"))
     return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", text.normalize_address(said).alias("address"))
