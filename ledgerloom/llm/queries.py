@@ -101,6 +101,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _TRIM = r"nullif(regexp_replace(line, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g'), '')"
 
+#: Shards take their turns one by one: the state is each shard's place in its order and which slots are taken.
+_N, _M = len(SHARDS), SLOTS
+_HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+_TABLE = f"""WITH RECURSIVE s AS (SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS name FROM range({_N}) r(i)),
+o AS (SELECT list({_HASH.format("'offset:' || name")} % {_M} ORDER BY i) AS place, list({_HASH.format("'skip:' || name")} % {_M - 1} + 1 ORDER BY i) AS skip FROM s),
+t(turn, slot, owner, place, taken) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, place, list_transform(range({_M}), lambda x: FALSE) FROM o
+  UNION ALL
+  SELECT turn + 1, f, turn % {_N}, list_transform(place, lambda x, i: CASE WHEN i = turn % {_N} + 1 THEN f ELSE x END), list_transform(taken, lambda x, i: x OR i = f + 1)
+  FROM (SELECT *, (p + j * k) % {_M} AS f FROM (SELECT *, list_position(list_transform(range({_M}), lambda x: taken[((p + x * k) % {_M}) + 1]), FALSE) - 1 AS j
+    FROM (SELECT t.turn, t.place, t.taken, t.place[t.turn % {_N} + 1] AS p, o.skip[t.turn % {_N} + 1] AS k FROM t, o WHERE t.turn < {_M}))))"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": f"""WITH p AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1 HAVING count(*) >= 20),
 e AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
@@ -110,4 +122,5 @@ b AS (SELECT h.source, kept FROM h JOIN p USING (source) WHERE held > 1 AND held
 m AS (SELECT k.*, b.kept IS NOT NULL AS bad FROM k LEFT JOIN b ON k.source = b.source AND k.kept = b.kept),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_dropped, string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT bad) AS text FROM m GROUP BY 1)
 SELECT d.doc_id, d.source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(g.text, '')) AS kept_sha256 FROM documents d LEFT JOIN g USING (doc_id)""",
+    "op10_sharding": f"""{_TABLE} SELECT d.doc_id, d.source, t.slot::INT AS slot, s.name AS shard FROM documents d JOIN t ON t.slot = {_HASH.format("d.doc_id::VARCHAR")} % {_M} JOIN s ON s.i = t.owner""",
 }
