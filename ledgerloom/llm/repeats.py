@@ -33,7 +33,7 @@ GRAM = 24
 #: Strings that one numpy step of the anchors looks at; its arrays then stay in the processor's cache.
 STEP = 1 << 17
 _PLACE = np.uint64((1 << 20) - 1)
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 HOT = 20_000
 
 
@@ -278,25 +278,26 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     own = [c for c in docs.columns if c not in (text_col, *results)]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("_id"), F.xxhash64(text).alias("_fp"), text.alias("_bytes"), F.struct(*own).alias("_row"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("_id"), text.alias("_bytes"), F.struct(*own).alias("_row"))
     shared = not rows.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     by = ["_id", "_fp"] if shared else ["_id"]
-    rows = rows.select(*by, "_bytes", "_row").repartition(*by)
-    once = rows.select(*by, "_bytes").dropDuplicates(by) if shared else docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("_id"), text.alias("_bytes"))
+    rows = rows.withColumn("_fp", F.xxhash64("_bytes")) if shared else rows
+    once = rows.select(*by, "_bytes").dropDuplicates(by) if shared else rows.select(*by, "_bytes")
+    dealt_texts = once.repartition(*by)  # one exchange of the texts, read twice
 
     under, context = Window.partitionBy("anchor"), Window.partitionBy("anchor", "own")
     seen = (
         anchors(once, by, least)
+        .repartition("anchor")  # both windows below then share one exchange
         .withColumn("first", F.row_number().over(context.orderBy("_id", *by[1:], "place")) == 1)
         .withColumn("same", F.count("*").over(context))
         .withColumn("others", F.sum(F.col("first").cast("int")).over(under))
         .where("not first or others > 1")
     )
-    found = seen.groupBy(*by).agg(
-        F.collect_list(F.when(~F.col("first"), F.col("place"))).alias("_covered"),
-        F.collect_list(F.when(F.col("first"), F.struct("place", "anchor", "others"))).alias("_open"),
-    )
-    each = rows.select(*by, "_bytes").join(found.where(F.size("_open") > 0).select(*by, "_open"), by).select(*by, "_bytes", F.explode("_open").alias("x"))
+    # one list for both uses, so that both read one exchange
+    found = seen.groupBy(*by).agg(F.collect_list(F.struct("first", "place", F.when(F.col("first"), F.col("anchor")).alias("anchor"), "others")).alias("_all"))
+    covered = F.transform(F.filter("_all", lambda x: ~x["first"]), lambda x: x["place"])
+    each = dealt_texts.join(found, by).select(*by, "_bytes", F.explode(F.filter("_all", lambda x: x["first"])).alias("x"))
     each = each.select(*by, "_bytes", "x.anchor", "x.others", F.shiftright("x.place", 8).alias("start"), F.col("x.place").bitwiseAND(F.lit(255)).alias("n"))
     # contexts of an anchor with too many of them go string by string, dealt by what the string is
     hot = F.col("others") > HOT
@@ -306,7 +307,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     key = F.when(F.col("others") > HOT, F.xxhash64("anchor", F.pmod(F.xxhash64("bytes"), F.ceil(F.col("others") / HOT)))).otherwise(F.col("anchor"))
     dealt = cut.select(key.alias("key"), *by, "place", "bytes").repartition("key").sortWithinPartitions("key", "_id", "place")
     spans = match_contexts(dealt, by, least).groupBy(*by).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    return _cut_out(rows.join(found.select(*by, "_covered"), by, "left").join(spans, by, "left"), docs, own, least)
+    texts = dealt_texts.join(found, by, "left").select(*by, "_bytes", covered.alias("_covered")).join(spans, by, "left")
+    return _cut_out(texts.join(rows.select(*by, "_row"), by), docs, own, least)
 
 
 def _cut_out(rows: DataFrame, docs: DataFrame, own: list[str], least: int) -> DataFrame:
