@@ -23,7 +23,7 @@ BROADCAST_LINES = 100_000
 
 def line_key(line: Column) -> Column:
     """A line as compared: trimmed; null if nothing is left."""
-    return F.nullif(F.regexp_replace(line, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", ""), F.lit(""))
+    return F.nullif(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), F.lit(""))
 
 
 def _code(line: Column) -> Column:
