@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder spark.checkpoint.dir (a local one where it is unset, as in tests)."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/sites-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ledgerloom.session import materialize
 
 
 def sites(keys: DataFrame, node: str, key: str, out: str) -> DataFrame:
@@ -28,15 +15,15 @@ def sites(keys: DataFrame, node: str, key: str, out: str) -> DataFrame:
     labels' own labels; keys with any number of nodes need no pairs, only sums that each task starts by itself.
     """
     pairs = keys.select(F.col(node).alias("n"), F.col(key).alias("k")).where("k is not null").distinct()
-    pairs = _written(pairs)
-    label = _written(keys.select(F.col(node).alias("n")).distinct().withColumn("l", F.col("n")))
+    pairs = materialize(pairs, "keys")
+    label = materialize(keys.select(F.col(node).alias("n")).distinct().withColumn("l", F.col("n")), "labels")
     while True:
         by_key = pairs.join(label, "n").groupBy("k").agg(F.min("l").alias("l"))
         least = pairs.join(by_key, "k").groupBy("n").agg(F.min("l").alias("m"))
         near = label.join(least, "n", "left").select("n", "l", F.least("l", F.coalesce("m", "l")).alias("m"))
         # a node also takes the label that its label has reached
         ahead = near.select(F.col("n").alias("m"), F.col("m").alias("a"))
-        new = _written(near.join(ahead, "m", "left").select("n", "l", F.least("m", F.coalesce("a", "m")).alias("m")))
+        new = materialize(near.join(ahead, "m", "left").select("n", "l", F.least("m", F.coalesce("a", "m")).alias("m")), "labels")
         done = new.where("l <> m").isEmpty()
         label = new.select("n", F.col("m").alias("l"))
         if done:

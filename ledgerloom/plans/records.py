@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import geo, text, values
 from ledgerloom.operators import merge, resolve
+from ledgerloom.session import shared_dir
 from ledgerloom.sources import files, sinks
 from ledgerloom.streaming import feeds
 
@@ -197,8 +198,7 @@ def stream_newest(t: Tables) -> DataFrame:
     """newest_by_key as a stream that is run until its input is used up; its last state is the table."""
     schema = t.events.schema
     feed = feeds.newest_by_key(feeds.read_feed(t.spark, f"{t.sf_dir}/events.parquet*", schema), "user_id", ["ts", "event_id"], "event_id")
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or __import__("tempfile").mkdtemp(prefix="ledgerloom-")
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     q = feed.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/table")).trigger(availableNow=True).start()
     q.awaitTermination()
     return t.spark.read.parquet(f"{at}/table").select("user_id", "event_id")
