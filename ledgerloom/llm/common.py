@@ -1,37 +1,20 @@
-"""Helpers shared by the operators: shared-folder tables, batch slicing and a numpy view of words."""
+"""Helpers shared by the operators: batch slicing and a numpy view of words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ledgerloom.session import materialize  # noqa: F401  (the operators write their tables with it)
 
 #: Text bytes that one numpy step works on; bounds the temporaries of a Python worker.
 STEP_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (tests only) a new local one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts in `column` have about `most` bytes, and one row at least."""
     for b in batches:
