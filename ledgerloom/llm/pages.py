@@ -34,7 +34,7 @@ from .common import materialize, slices
 BROADCAST_HOSTS = 20_000
 #: Children that a wrapper's element has at most; the rarest give way, so that no host's wrapper grows without bound.
 MOST_CHILDREN = 60
-DEPTH = 40
+DEPTH = 200
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements by what they are.

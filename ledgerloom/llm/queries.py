@@ -113,7 +113,46 @@ t(turn, slot, owner, place, taken) AS (
   FROM (SELECT *, (p + j * k) % {_M} AS f FROM (SELECT *, list_position(list_transform(range({_M}), lambda x: taken[((p + x * k) % {_M}) + 1]), FALSE) - 1 AS j
     FROM (SELECT t.turn, t.place, t.taken, t.place[t.turn % {_N} + 1] AS p, o.skip[t.turn % {_N} + 1] AS k FROM t, o WHERE t.turn < {_M}))))"""
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_LOWER)
+_DECONTAMINATION = f"""WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN []::VARCHAR[] ELSE {_WORDS.format("text")} END AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+c AS (SELECT DISTINCT item_id, k, array_to_string(w[a:a + k - 1], ' ') AS win FROM (SELECT item_id, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS a FROM b WHERE len(w) > 0)),
+g AS (SELECT doc_id, k, a, array_to_string(w[a:a + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM d, (SELECT DISTINCT k FROM c) WHERE len(w) >= k)),
+m AS (SELECT g.doc_id, g.k, g.a, c.item_id FROM g JOIN c ON g.k = c.k AND g.win = c.win),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(a, a + k)) AS p FROM m) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+
+def _quality_sql() -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    lists = quality.COMMON | {"": sorted({w for words in quality.COMMON.values() for w in words})}
+    common = "CASE lang " + " ".join(f"WHEN '{k}' THEN {quoted(v)}" for k, v in lists.items() if k) + f" ELSE {quoted(lists[''])} END"
+    left = lambda p: "strlen(text) - strlen(regexp_replace(text, '{}', '', 'g'))".format(p.replace("'", "''"))
+    classes = ", ".join(f"({left(p)})::DOUBLE" for p in quality.CLASSES.values())
+    term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+    distance = lambda p, q: f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {term(f'({p}[i] / list_sum({p}))', f'({q}[i] / list_sum({q}))')} + {term(f'({q}[i] / list_sum({q}))', f'({p}[i] / list_sum({p}))')})) / 2, 0)) END"
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '') AS words, list_filter(string_split_regex(lower(text), '[ 	-]+'), lambda x: x <> '') AS lowered, {common} AS listed FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM (SELECT doc_id, i, array_to_string(words[i:i + 2], ' ') AS tri FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2))),
+r AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1),
+c AS (SELECT *, length(array_to_string(words, '')) AS word_chars, [{classes}] AS part, list_transform(listed, lambda x: len(list_filter(lowered, lambda y: y = x))::DOUBLE) AS common FROM w),
+e AS (SELECT *, list_concat(part, [(length(text) - word_chars)::DOUBLE, (strlen(text) - length(text))::DOUBLE]) AS six FROM c),
+h AS (SELECT *, list_append(six, greatest(length(text) - list_sum(six), 0)) AS chars FROM e),
+a AS (SELECT lang, list(v ORDER BY i) AS ref FROM (SELECT lang, i, avg(v) AS v FROM (SELECT lang, unnest(range(1, len(chars) + 1)) AS i, unnest(list_transform(chars, lambda x: x / list_sum(chars))) AS v FROM h WHERE len(words) >= 50 AND list_sum(chars) > 0) GROUP BY 1, 2) GROUP BY 1),
+b AS (SELECT lang, list(v ORDER BY i) AS ref FROM (SELECT lang, i, avg(v) AS v FROM (SELECT lang, unnest(range(1, len(common) + 1)) AS i, unnest(list_transform(common, lambda x: x / list_sum(common))) AS v FROM h WHERE len(words) >= 50 AND list_sum(common) > 0) GROUP BY 1, 2) GROUP BY 1),
+j AS (SELECT h.doc_id, len(words)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, part[3]::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  CASE WHEN list_sum(chars) >= 250 THEN {distance("h.chars", "a.ref")} END AS char_distance, CASE WHEN list_sum(common) >= 20 THEN {distance("h.common", "b.ref")} END AS word_distance
+  FROM h LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN a ON a.lang = h.lang LEFT JOIN b ON b.lang = h.lang),
+k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(char_distance, 0) <= 0.17 AND coalesce(word_distance, 0) <= 0.55 AS kept FROM k"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": _DECONTAMINATION,
+    "op3_quality_rules": _quality_sql(),
     "op2_line_dedup": f"""WITH p AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1 HAVING count(*) >= 20),
 e AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 k AS (SELECT *, {_TRIM} AS kept FROM e),
