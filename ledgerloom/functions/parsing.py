@@ -83,3 +83,51 @@ def resized(url: Column, host: str, most: int, quality: int) -> Column:
     """An image address of the host with width and quality asked for; other addresses stay."""
     base = F.regexp_replace(url, r"\?.*$", "")
     return F.when(F.regexp_extract(url, "^https?://([^/?#]+)", 1).endswith(host), F.concat(base, F.lit(f"?w={most}&q={quality}"))).otherwise(url)
+
+
+def normalise_header(c: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+
+
+def client_of(stem: Column) -> Column:
+    """A client's name from a file name: before the first word that tells the kind of document."""
+    head = F.regexp_extract(F.regexp_replace(stem, "[_-]+", " "), r"(?i)^(.*?)\s*\b(?:longlist|tracker|brochures?|shortlist|requirements?)\b", 1)
+    return F.when(head != "", F.trim(head))
+
+
+def requirement_id(url: Column) -> Column:
+    return F.regexp_extract(url, r"/requirements/(\d+)", 1).try_cast("long")
+
+
+def view_url(pano: Column, lat: Column, lng: Column) -> Column:
+    """An address of a street view by its id, else by its place; null without either."""
+    base = F.lit("https://maps.example/@?api=1&map_action=pano")
+    return F.when(pano.isNotNull(), F.concat(base, F.lit("&pano="), pano)).when(lat.isNotNull() & lng.isNotNull(), F.concat(base, F.lit("&viewpoint="), lat.cast("string"), F.lit(","), lng.cast("string")))
+
+
+def lexicon_hits(c: Column, words: list[str]) -> Column:
+    """How many of the words stand in the text, between letters' boundaries, accents and case aside."""
+    t = fold(c)
+    hits = [t.rlike(rf"(?<![\p{{L}}]){w}(?![\p{{L}}])").cast("int") for w in words]
+    return sum(hits[1:], hits[0])
+
+
+def enum_token(c: Column, filler: str) -> Column:
+    """A grade or state without filler words, lower case."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), rf"\b(?:{filler})\b", " "), r"[^a-z0-9+]+", " "))
+
+
+def hedged(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"(?i)\b(?:target(?:ing|ed)?|expected|tbc)\b"), F.lit(False))
+
+
+def dash_null(c: Column) -> Column:
+    """A cell in which a dash or n/a means nothing."""
+    return F.when(~F.lower(F.trim(c)).isin("-", "–", "—", "na", "n/a", ""), c)
+
+
+def month_key(c: Column) -> Column:
+    """Year * 12 + month of an ISO date or of `April 2026`; null otherwise."""
+    iso = F.regexp_extract(c, r"^\s*(\d{4})-(\d{2})", 0)
+    day = F.coalesce(F.try_to_timestamp(F.when(iso != "", F.concat(F.trim(iso), F.lit("-01"))), F.lit("yyyy-MM-dd")), F.try_to_timestamp(F.initcap(F.regexp_extract(c, r"^\s*([A-Za-z]{3,9}\s+\d{4})\s*$", 1)), F.lit("MMMM yyyy")))
+    return F.year(day) * 12 + F.month(day)

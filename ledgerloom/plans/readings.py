@@ -152,3 +152,57 @@ def untranslated(t: Tables) -> DataFrame:
     """Values worth translating that the cache lacks."""
     cache = t.part.where("p_size > 48").select("p_brand").distinct()
     return t.part.where(F.col("p_type").rlike("[A-Za-z]")).join(cache, "p_brand", "left_anti").select("p_partkey", "p_brand")
+
+
+_FILES = [("ACME_Longlist v2", "ACME"), ("Big Box Co - tracker", "Big Box Co"), ("notes", None)]
+
+
+@query(f"SELECT s_suppkey, {_sql([x for _, x in _FILES])}[(1 + s_suppkey % 3)::INT] AS client, (s_suppkey * 7)::BIGINT AS requirement, 'total size (sq ft)' AS header FROM supplier")
+def names_in_paths(t: Tables) -> DataFrame:
+    url = F.concat(F.lit("https://x.example/requirements/"), F.col("s_suppkey") * 7, F.lit("/matches"))
+    return t.supplier.select("s_suppkey", parsing.client_of(_pick([x for x, _ in _FILES], "s_suppkey")).alias("client"), parsing.requirement_id(url).alias("requirement"), parsing.normalise_header(F.lit("Total Size \n(sq ft)")).alias("header"))
+
+
+@query("""SELECT c_custkey, 'https://maps.example/@?api=1&map_action=pano' || CASE WHEN c_custkey % 3 = 0 THEN '&pano=p' || c_custkey WHEN c_custkey % 3 = 1 THEN '&viewpoint=' || c_custkey || ',' || c_nationkey END AS url FROM customer""")
+def view_urls(t: Tables) -> DataFrame:
+    k = F.col("c_custkey") % 3
+    return t.customer.select("c_custkey", parsing.view_url(F.when(k == 0, F.concat(F.lit("p"), "c_custkey")), F.when(k == 1, F.col("c_custkey")), F.col("c_nationkey")).alias("url"))
+
+
+@query("SELECT s_suppkey, [2, 0, 1][(1 + s_suppkey % 3)::INT] AS hits, ['excellent', 'a+', 'very good'][(1 + s_suppkey % 3)::INT] AS token, s_suppkey % 3 = 0 AS hedged FROM supplier")
+def lexicon_and_grades(t: Tables) -> DataFrame:
+    pages = _pick(["Étage plan: niveau 1", "planning levels", "Ground plan"], "s_suppkey")
+    grade = _pick(["Target BREEAM Excellent", "EPC: A+", "BREEAM Very Good"], "s_suppkey")
+    return t.supplier.select("s_suppkey", parsing.lexicon_hits(pages, ["plan", "etage"]).alias("hits"), parsing.enum_token(grade, "target|breeam|epc").alias("token"), parsing.hedged(grade).alias("hedged"))
+
+
+@query("SELECT o_orderkey, (year(o_orderdate) * 12 + month(o_orderdate))::INT AS month_key, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END AS cell FROM orders")
+def month_keys(t: Tables) -> DataFrame:
+    said = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "MMMM yyyy"))
+    return t.orders.select("o_orderkey", parsing.month_key(said).alias("month_key"), parsing.dash_null(F.when(F.col("o_orderkey") % 4 == 0, " – ").otherwise(F.col("o_orderpriority"))).alias("cell"))
+
+
+@query("""SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal < 0 THEN 'negative' END, CASE WHEN c_nationkey > 20 THEN 'far' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'sector' END], lambda x: x IS NOT NULL), ',') AS flags FROM customer""")
+def anti_patterns(t: Tables) -> DataFrame:
+    """The rules that a row breaks, in order."""
+    flags = F.array_compact(F.array(F.when(F.col("c_acctbal") < 0, "negative"), F.when(F.col("c_nationkey") > 20, "far"), F.when(F.col("c_mktsegment") == "BUILDING", "sector")))
+    return t.customer.select("c_custkey", F.array_join(flags, ",").alias("flags"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, max(l_quantity) AS stated, count(*) FILTER (WHERE l_returnflag <> 'N') AS n FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN n > 0 THEN stated END AS stated_total FROM r""")
+def stated_total(t: Tables) -> DataFrame:
+    """A cluster's own printed total, where a record of a known unit prints one."""
+    return t.lineitem.groupBy("l_orderkey").agg(F.when(F.count_if(F.col("l_returnflag") != "N") > 0, F.max("l_quantity")).alias("stated_total"))
+
+
+@query("""SELECT source, round(avg((n_chars > 1000)::INT), 6) AS dark_share, avg((n_chars > 1000)::INT) NOT BETWEEN 0.4 AND 0.6 AS warn FROM documents GROUP BY 1""")
+def tone_share(t: Tables) -> DataFrame:
+    share = F.avg((F.col("n_chars") > 1000).cast("int"))
+    return t.documents.groupBy("source").agg(F.round(share, 6).alias("dark_share"), (~share.between(0.4, 0.6)).alias("warn"))
+
+
+@query("""SELECT c_custkey, greatest(0, len(list_filter([c_acctbal > 0, c_nationkey > 5, c_mktsegment <> 'BUILDING'], lambda x: x)))::INT AS n_fields FROM customer""")
+def chaseable_fields(t: Tables) -> DataFrame:
+    """How many of the fields that a chase may ask for a row holds."""
+    held = F.map_filter(F.create_map(F.lit("bal"), F.col("c_acctbal") > 0, F.lit("nation"), F.col("c_nationkey") > 5, F.lit("segment"), F.col("c_mktsegment") != "BUILDING", F.lit("balVal"), F.lit(True)), lambda k, v: v & ~k.endswith("Val"))
+    return t.customer.select("c_custkey", F.size(F.array_intersect(F.map_keys(held), F.array(*map(F.lit, ["bal", "nation", "segment"])))).alias("n_fields"))
