@@ -41,6 +41,7 @@ _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+READERS = re.compile(r"(?:^|[-_ ])(?:comments?|repl(?:y|ies)|disqus)(?:$|[-_ ])", re.I)
 CLOSED_BY = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 OUT = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "fieldset"}
 OUT_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|comments?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|footer|header|widget|disqus|repl(?:y|ies)|complementary|contentinfo|search)(?:$|[-_ ])", re.I)
@@ -63,7 +64,7 @@ def parse(page: str | None) -> Element:
         at = m.end()
         first = m[0]
         if first[0] != "<" or first == "<":
-            stack[-1].items.append((first, link > 0))
+            stack[-1].items.append((html.unescape(first), link > 0))
             continue
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -91,7 +92,10 @@ def parse(page: str | None) -> Element:
             continue
         names = " ".join(x[0] or x[1] or x[2] for x in _NAMES.findall(m[3] or m[6] or ""))
         inside = any(e.tag in ("article", "main") for e in stack)
-        out = tag in OUT or tag == "header" and not inside or bool(names and OUT_NAMES.search(names) and tag not in ("html", "body", "article", "main"))
+        out = tag in OUT or tag == "header" and not inside or bool(names and tag not in ("html", "body") and (READERS if tag in ("article", "main") else OUT_NAMES).search(names))
+        if tag in ("article", "main") and not out:
+            for above in stack:  # what holds the main text is none of the parts beside it, whatever its names say
+                above.out = above.out and above.tag in OUT
         e = Element(tag, f"{tag}.{names.split()[0]}" if names else tag, out)
         stack[-1].items.append(e)
         stack.append(e)
@@ -101,7 +105,7 @@ def parse(page: str | None) -> Element:
 # A wrapper's element: label, tag, out, optional, repeated, pages, text (characters outside links), constant (its text
 # if that never varied, else null) and children.
 def wrapper(e: Element) -> dict:
-    text = " ".join("".join(html.unescape(x[0]) for x in e.items if isinstance(x, tuple) and not x[1]).split())
+    text = " ".join("".join(x[0] for x in e.items if isinstance(x, tuple) and not x[1]).split())
     children: list[dict] = []
     for x in e.items:
         if isinstance(x, Element):
@@ -209,7 +213,7 @@ def blocks(e: Element, places: list[list[str]]) -> list[str]:
         run: list[str] = []
 
         def end() -> None:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             if text:
                 found.append(text)
             run.clear()

@@ -36,3 +36,9 @@ def test_alignment_makes_optional_and_repeated_parts():
     assert w["children"][0]["constant"] == "A" and w["children"][2]["constant"] is None
     same = pages.align(pages.align(a, b), a)["children"][0]
     assert [c["label"] for c in same["children"]] == ["h1", "h2", "p"]
+
+
+def test_names_around_and_inside_articles(spark):
+    rows = [(i, "http://n.example/", page(f"<div class='content has-sidebar'><article><p>body {i} &am<b>p; x</b></p><section class='comments'><article class='comment'><p>first!</p></article></section></article><div class='sidebar'>side</div></div>")) for i in range(4)]
+    for r in pages.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"body {r.page_id} &amp; x"
