@@ -4,7 +4,8 @@ A byte goes if it lies in a string of `least` bytes that also starts earlier: in
 its own. Every such string has an anchor, the leftmost of its GRAM-byte grams with the smallest hash; strings in a row
 with the same anchor form a context. Equal strings have equal anchors at equal places, so contexts meet by anchor:
 
-1. Each context's anchor, place and hash are shuffled by anchor. A context seen earlier under its anchor is covered
+1. Grams that are frequent in the corpus are found and avoided as anchors; copies of a context in one batch are merged.
+   Each context's anchor, place and hash are then shuffled by anchor. A context seen earlier under its anchor is covered
    whole. If an anchor has other contexts too, each distinct one goes on to step 2; single anchors end here.
 2. Distinct contexts are dealt to shards by anchor. A shard sorts the strings that start in its contexts into a suffix
    array by Larsson-Sadakane refinement (only groups that are still tied are sorted again, at twice the depth), gets the
@@ -27,9 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import HashSet, materialize, mix, slices
 
 GRAM = 24
+#: Grams at more than one in so many places are frequent.
+SHARE = 40_000
+#: ... if each eighth place shows them so often at least.
+FREQUENT = 100
 #: Strings that one numpy step of the anchors looks at; its arrays then stay in the processor's cache.
 STEP = 1 << 17
 _PLACE = np.uint64((1 << 20) - 1)
@@ -45,7 +50,39 @@ def _packed(data: np.ndarray) -> np.ndarray:
     return ((x[:-4] << np.uint64(32)) | x[4:])[: len(data)]
 
 
-def _contexts(data: np.ndarray, doc_ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _grams(eight: np.ndarray, n: int, step: int = 1) -> np.ndarray:
+    """Hashes of the grams at places 0 to n - 1, each step-th; eight: the packed bytes from each place on."""
+    h = eight[:n:step] * np.uint64(0x9E3779B97F4A7C15)
+    for o in range(8, GRAM, 8):
+        h = mix(h ^ eight[o : o + n : step])
+    return h
+
+
+def frequent_grams(docs: DataFrame) -> np.ndarray:
+    """Hashes of the grams at more than one in SHARE places, of which there can be SHARE at most.
+
+    They would make hot anchors, so anchors avoid them where a string has others. What is found here decides how work
+    is dealt and never what is removed, so each task looks at every eighth place and reports what it sees often.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen, total = [np.zeros(0, np.uint64)], 0
+            for part in slices(iter([b]), 0):
+                data = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8)
+                if len(data) >= GRAM:
+                    seen.append(_grams(_packed(data), len(data) - GRAM + 1, 8))
+            gram, n = np.unique(np.concatenate(seen), return_counts=True)
+            total, often = int(n.sum()), n >= max(4, int(n.sum()) // SHARE)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *gram[often].view(np.int64).tolist()], pa.int64()), pa.array([total, *n[often].tolist()], pa.int64())], names=["gram", "n"])
+
+    counts = materialize(docs.select("_bytes").mapInArrow(look, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    total = counts.where("gram is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counts.where(F.col("gram").isNotNull() & (F.col("n") * SHARE > total) & (F.col("n") >= FREQUENT)).select("gram").collect()  # SHARE rows at most
+    return np.sort(np.array([r.gram for r in often], np.int64).view(np.uint64))
+
+
+def _contexts(data: np.ndarray, doc_ends: np.ndarray, least: int, frequent: HashSet | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For documents laid end to end: each context's start, its number of strings, its anchor's hash and its own hash."""
     width = least - GRAM + 1
     out: list[tuple[np.ndarray, ...]] = []
@@ -59,9 +96,11 @@ def _contexts(data: np.ndarray, doc_ends: np.ndarray, least: int) -> tuple[np.nd
         hi = min(lo + STEP, len(data) - least + 1)  # starts of strings: lo to hi - 1
         eight = _packed(data[lo : hi + least - 1])
         n = hi - lo + width - 1
-        h = np.zeros(n, np.uint64)
-        for o in range(0, GRAM, 8):
-            h = mix(h ^ eight[o : o + n]) if o else eight[:n] * np.uint64(0x9E3779B97F4A7C15)
+        h = _grams(eight, n)
+        if frequent is not None and len(frequent.values):
+            often, _ = frequent.find(h)
+            h = h >> np.uint64(1)
+            h[often] |= np.uint64(1 << 63)  # smallest only where all grams are frequent
         least_at = (h & ~_PLACE) | np.arange(n, dtype=np.uint64)
         span = 1
         while 2 * span <= width:
@@ -104,20 +143,38 @@ def _down(n: int) -> np.ndarray:
     return _table("down", _BASE_INVERSE, n)
 
 
-def anchors(docs: DataFrame, by: list[str], least: int) -> DataFrame:
-    """From (by..., text as bytes): (by..., anchor, own, place); place is start * 256 + number of strings."""
+def anchors(docs: DataFrame, by: list[str], least: int, frequent: np.ndarray) -> DataFrame:
+    """From (by..., text as bytes): (by..., anchor, own, place, known); place is start * 256 + number of strings.
+
+    Of equal contexts in one batch only the first goes by its anchor; the others are known to be covered and are dealt by
+    their own place, so that copies don't make an anchor hot.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, len(by)):
-            texts = b.column(len(by)).to_pylist()
-            ends = np.cumsum([len(t) for t in texts])
-            start, size, anchor, own = _contexts(np.frombuffer(b"".join(texts), np.uint8), ends, least)
-            doc = np.searchsorted(ends, start, "right")
-            place = (start - (ends[doc] - np.diff(ends, prepend=0)[doc])) * 256 + size
-            ids = [b.column(i).take(pa.array(doc)) for i in range(len(by))]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array((anchor >> np.uint64(16)).view(np.int64)), pa.array(own.view(np.int64)), pa.array(place)], names=[*by, "anchor", "own", "place"])
-
-    schema = ", ".join([*(f"{c} long" for c in by), "anchor long", "own long", "place long"])
+        often = HashSet(shared.value)
+        for b in batches:
+            found: list[tuple[np.ndarray, ...]] = []
+            base = 0
+            for part in slices(iter([b]), len(by)):
+                texts = part.column(len(by)).to_pylist()
+                ends = np.cumsum([len(t) for t in texts])
+                start, size, anchor, own = _contexts(np.frombuffer(b"".join(texts), np.uint8), ends, least, often)
+                doc = np.searchsorted(ends, start, "right")
+                found.append((doc + base, (start - (ends[doc] - np.diff(ends, prepend=0)[doc])) * 256 + size, anchor >> np.uint64(16), own))
+                base += len(texts)
+            if not found:
+                continue
+            doc, place, anchor, own = (np.concatenate(x) for x in zip(*found))
+            ids = [np.asarray(b.column(i))[doc] for i in range(len(by))]
+            order = np.lexsort((place, *ids[::-1], own, anchor))
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = (anchor[order[1:]] == anchor[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+            anchor[again] = mix(own[again] ^ mix((place[again] + (ids[0][again] << 20)).view(np.uint64))) >> np.uint64(16)
+            cols = [*ids, anchor.view(np.int64), own.view(np.int64), place, again]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[*by, "anchor", "own", "place", "known"])
+
+    schema = ", ".join([*(f"{c} long" for c in by), "anchor long, own long, place long, known boolean"])
     return docs.mapInArrow(find, schema)
 
 
@@ -287,10 +344,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     under, context = Window.partitionBy("anchor"), Window.partitionBy("anchor", "own")
     seen = (
-        anchors(once, by, least)
+        anchors(once, by, least, frequent_grams(once))
         .repartition("anchor")  # both windows below then share one exchange
-        .withColumn("first", F.row_number().over(context.orderBy("_id", *by[1:], "place")) == 1)
-        .withColumn("same", F.count("*").over(context))
+        .withColumn("first", ~F.col("known") & (F.row_number().over(context.orderBy("known", "_id", *by[1:], "place")) == 1))
         .withColumn("others", F.sum(F.col("first").cast("int")).over(under))
         .where("not first or others > 1")
     )

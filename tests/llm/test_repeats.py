@@ -12,8 +12,8 @@ def result(df):
     return sorted((r.doc_id, r.n_bytes, sum(s.hi - s.lo for s in r.removed), len(r.removed), brute.sha(bytes(r.kept))) for r in df.collect())
 
 
-@pytest.mark.parametrize("hot,shard", [(20_000, 4 << 20), (1, 4 << 20), (20_000, 300)])
-def test_matches_brute_force(spark, hot, shard):
+@pytest.mark.parametrize("hot,shard,frequent", [(20_000, 4 << 20, 100), (1, 4 << 20, 100), (20_000, 300, 100), (20_000, 4 << 20, 3)])
+def test_matches_brute_force(spark, hot, shard, frequent):
     r = random.Random(11)
     rows = list(enumerate(texts(60, 3)))
     passage = " ".join(f"w{r.randrange(99)}" for _ in range(60))
@@ -21,12 +21,14 @@ def test_matches_brute_force(spark, hot, shard):
         rows.append((len(rows), " ".join(f"v{r.randrange(999)}" for _ in range(r.randrange(40))) + passage[r.randrange(60) : 200 + r.randrange(30)] + f" {n}"))
     rows += [(len(rows), "ab" * 400), (len(rows) + 1, "é" * 200 + "\0" * 300), (len(rows) + 2, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    before = repeats.HOT, repeats.SHARD_BYTES
-    repeats.HOT, repeats.SHARD_BYTES = hot, shard
+    before = repeats.HOT, repeats.SHARD_BYTES, repeats.FREQUENT
+    repeats.HOT, repeats.SHARD_BYTES, repeats.FREQUENT = hot, shard, frequent
+    texts_only = df.selectExpr("CAST(coalesce(text, '') AS binary) AS _bytes")
+    assert len(repeats.frequent_grams(texts_only)) > 0 or frequent > 3
     try:
         got = result(repeats.remove_repeats(df))
     finally:
-        repeats.HOT, repeats.SHARD_BYTES = before
+        repeats.HOT, repeats.SHARD_BYTES, repeats.FREQUENT = before
     assert got == brute.repeats([(i, (t or "").encode()) for i, t in rows])
 
 
