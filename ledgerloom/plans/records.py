@@ -204,11 +204,19 @@ def stream_newest(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{at}/table").select("user_id", "event_id")
 
 
+def _parts(t: Tables) -> DataFrame:
+    """Parts as records. Every fourth has no place; neighbours by number stand 0.1 or 1.1 km apart."""
+    k = F.col("p_partkey")
+    pair = F.floor(k / 2)
+    lat = 40 + (pair % 1009) / 100 + F.when(k % 2 == 0, 0.0).when(pair % 2 == 0, 0.001).otherwise(0.01)
+    placed = lambda c: F.when(k % 4 != 0, c)
+    return t.part.select(
+        k.alias("seq"), F.concat(F.lit("s"), k % 3).alias("source"), F.col("p_name").alias("park"), F.col("p_brand").alias("developer"), F.col("p_type").alias("city"),
+        F.col("p_size").cast("string").alias("area"), F.lit("sq m").alias("unit"), placed(lat).alias("lat"), placed(10 + (pair * 7 % 640) / 100).alias("lng"),
+    )
+
+
 @query()
 def pair_classes(t: Tables) -> DataFrame:
-    """Classes of the pairs of parts that meet by key, token or party; ratios of texts have no SQL form."""
-    records = t.part.select(F.col("p_partkey").alias("seq"), F.concat(F.lit("s"), F.col("p_partkey") % 3).alias("source"), F.col("p_name").alias("park"), F.col("p_brand").alias("developer"), F.col("p_type").alias("city"), F.col("p_size").cast("string").alias("area"), F.lit("sq m").alias("unit"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
-    p = resolve.prepare(records)
-    keyed = p.select(F.col("seq"), "key", "city", "dev")
-    a, b = (keyed.select(F.col("seq").alias(s), F.concat_ws("|", "city", "dev").alias("k")) for s in ("a", "b"))
-    return resolve.classify_pairs(p, a.join(b, "k").where("a < b").select("a", "b"))
+    """Classes of the pairs of parts that meet by key, token, place or party; ratios of texts have no SQL form."""
+    return resolve.classify_pairs(resolve.prepare(_parts(t)))

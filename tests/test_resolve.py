@@ -1,7 +1,12 @@
 import random
 
+import pytest
 
+from ledgerloom import catalog
+from ledgerloom.functions.geo import haversine_km
 from ledgerloom.operators import graph, resolve
+from ledgerloom.plans import records
+from ledgerloom.plans.registry import Tables
 
 SCHEMA = "seq long, source string, park string, developer string, city string, area string, unit string, lat double, lng double"
 
@@ -59,3 +64,34 @@ def test_sites_follow_long_chains(spark):
     got = {x.n: x.s for x in graph.sites(spark.createDataFrame(chain, "n long, k string"), "n", "k", "s").collect()}
     assert got == {**dict.fromkeys(range(60), 0), **dict.fromkeys(range(100, 300), 100), 500: 500}
     assert graph.sites(spark.createDataFrame([], "n long, k string"), "n", "k", "s").count() == 0
+
+
+def met(p, spark):
+    """All pairs against all: those that share a key, a token, a place, or city and developer."""
+    rows = sorted(p.collect(), key=lambda r: r.seq)
+    places = [(r.seq, r.lat, r.lng) for r in rows if r.lat is not None and r.lng is not None]
+    x, y = (spark.createDataFrame(places, f"{s} long, {s}lat double, {s}lng double") for s in "ab")
+    near = {(r.a, r.b) for r in x.crossJoin(y).where("a < b").where(haversine_km(x["alat"], x["alng"], y["blat"], y["blng"]) <= resolve.KM_GREY).collect()}
+    share = lambda a, b: a.key == b.key or set(a.tokens) & set(b.tokens) or a.city and a.dev and (a.city, a.dev) == (b.city, b.dev) or (a.seq, b.seq) in near
+    return sorted((a.seq, b.seq) for i, a in enumerate(rows) for b in rows[i + 1 :] if share(a, b))
+
+
+@pytest.mark.parametrize("group", [1000, 3])
+def test_candidate_pairs_match_brute_force(spark, group):
+    r = random.Random(4)
+    word = lambda: r.choice(["raven", "vltava", "gate", "hall", "park", "12", ""])
+    rows = [(i, "s", f"{word()} {word()}", r.choice(["CTP", "VGP", "tbd", None]), r.choice(["Brno", "Corby", "", None]), "5", "sq m", *((50 + r.random() / 5, 10 + r.random() / 5) if i % 3 else (50.1, None) if i % 2 else (None, None))) for i in range(70)]
+    p = resolve.prepare(spark.createDataFrame(rows, SCHEMA))
+    resolve.GROUP, before = group, resolve.GROUP
+    try:
+        assert sorted((x.a, x.b) for x in resolve.candidate_pairs(p).collect()) == met(p, spark)
+    finally:
+        resolve.GROUP = before
+
+
+def test_the_query_meets_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    got = catalog.queries()["pair_classes"](spark, sf).collect()
+    p = resolve.prepare(records._parts(Tables(spark, sf)))
+    assert sorted((x.a, x.b) for x in got) == met(p, spark)
+    assert {x["class"] for x in got} == {"auto", "forbidden", "grey", "no"}
