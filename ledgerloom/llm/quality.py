@@ -28,6 +28,8 @@ COMMON = {
 CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "symbol": r"[#*$%&|<>]+", "mark": r"[!-\"'-/:-;=?@\[-`{}~]+"}
 #: Languages whose references are broadcast at most; a table with more is joined.
 BROADCAST_LANGUAGES = 10_000
+#: Words from which keep_good judges a text by its common words, however few these are.
+LONG_WORDS = 150
 _WHITE = r"[\x20\x09-\x0D]+"
 _PLACE = (1 << 24) - 1
 
@@ -83,8 +85,11 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.when((tp > 0) & (tq > 0) & (F.size(p) == F.size(q)), F.sqrt(F.greatest(_total(each) / 2, F.lit(0.0))))
 
 
-def score_quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least_words: int = 50, least_chars: int = 250, least_common: int = 20, most_char_distance: float = 0.17, most_word_distance: float = 0.55, reference: DataFrame | None = None) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, base_failed and kept."""
+def score_quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least_words: int = 50, least_chars: int = 250, least_common: int = 20, most_char_distance: float = 0.17, most_word_distance: float = 0.55, long_words: int | None = None, reference: DataFrame | None = None) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, base_failed and kept.
+
+    A text of `long_words` words is judged by its common words however few it has; with none it is as far as can be.
+    """
     results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
     own = [c for c in docs.columns if c not in results]
     known = materialize(references(docs, text_col=text_col, lang_col=lang_col, least_words=least_words) if reference is None else reference, "references")
@@ -102,6 +107,9 @@ def score_quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     rows = held(rows, _places=F.sort_array(F.transform(found, place)))
     covered = F.aggregate(F.transform("_places", lambda x, i: F.least(F.lit(3), F.coalesce(F.get(F.col("_places"), i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
     lines = held(rows, _lines=F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
+    enough = _total("_common") >= least_common
+    if long_words is not None:
+        enough = enough | (F.size("_words") >= long_words)
     rows = lines.join(known, F.col("_lang") == F.col("_of"), "left").select(
         *own,
         F.size("_words").cast("long").alias("n_words"),
@@ -110,14 +118,14 @@ def score_quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.when(_total("_chars") >= least_chars, jensen_shannon(F.col("_chars"), F.col("_ref_chars"))).alias("char_distance"),
-        F.when(_total("_common") >= least_common, jensen_shannon(F.col("_common"), F.col("_ref_common"))).alias("word_distance"),
+        F.when(enough, F.when((_total("_common") == 0) & (_total("_ref_common") > 0), 1.0).otherwise(jensen_shannon(F.col("_common"), F.col("_ref_common")))).alias("word_distance"),
     )
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = (F.coalesce("char_distance", F.lit(0.0)) > most_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > most_word_distance)
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", long_words: int | None = LONG_WORDS, **options) -> DataFrame:
     """The documents that the rules keep, with their own columns, whatever these are called."""
     rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return score_quality(rows, **options).where("kept").select("_row.*")
+    return score_quality(rows, long_words=long_words, **options).where("kept").select("_row.*")

@@ -51,6 +51,17 @@ def test_divergent_documents_are_rejected(spark):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == set(range(30))
 
 
+def test_long_texts_with_few_common_words_are_judged(spark):
+    name = lambda i: "".join("bcdfghjklm"[int(d)] + "aeiouaeiou"[int(d)] for d in str(i))
+    own = lambda n, i: " ".join(name(1000 * i + j) for j in range(n))
+    plain = "the river and the field of corn in the light of that morning was on the way to it "
+    rows = [(i, plain * 2 + own(60, i), "en") for i in range(1, 31)]
+    rows += [(100, own(300, 100), "en"), (101, own(300, 101) + " as as as", "en"), (102, own(149, 102), "en"), (103, own(150, 103), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {*range(1, 31), 102}
+    assert {r.doc_id for r in quality.keep_good(docs, long_words=None).collect()} == {*range(1, 31), 100, 101, 102, 103}
+
+
 def test_jensen_shannon_is_a_distance(spark):
     d = spark.range(1).select(
         quality.jensen_shannon(F.array(F.lit(1.0), F.lit(3.0)), F.array(F.lit(2.0), F.lit(6.0))).alias("same"),
