@@ -7,9 +7,9 @@ subsequence of labels, what has no partner becomes optional, and text that diffe
 a merge, so each task folds its pages into one wrapper a host, and these meet by host: no page is sent, and a host with
 a third of all pages arrives as a few small trees.
 
-The wrapper then says where the host's main text is: the article or main element with the most text or, where a host
-has none, the smallest element that holds most of the text outside links, slots that never vary and parts named as
-menus, headers, footers, sidebars, notices, adverts, forms or comments. Each page is aligned with its host's wrapper and
+The wrapper then says where the host's main text is: the article or main element with the most text or, where a host has
+none, the smallest element that holds most of the text outside links, slots that never vary and parts named as menus, headers, footers,
+sidebars, notices, adverts, forms or comments. Each page is aligned with its host's wrapper and
 gives its blocks under that place; one that lacks the place is judged by itself.
 
 A null html is an empty page. A null url is a host of its own. Pages repeat freely (copies weigh in the statistics);
@@ -19,6 +19,7 @@ replaced.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -32,7 +33,8 @@ from .common import materialize, slices
 
 #: Hosts whose wrappers a task is sent at once; with more, pages and wrappers are joined by host.
 BROADCAST_HOSTS = 20_000
-#: Children that a wrapper's element has at most; the rarest give way, so that no host's wrapper grows without bound.
+#: Children that a wrapper's element has at most; beyond it the rarest are folded into one repeated child for each tag,
+#: which keeps their pages and text, so that no host's wrapper grows without bound.
 MOST_CHILDREN = 60
 DEPTH = 200
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
@@ -96,7 +98,8 @@ def parse(page: str | None) -> Element:
         if tag in ("article", "main") and not out:
             for above in stack:  # what holds the main text is none of the parts beside it, whatever its names say
                 above.out = above.out and above.tag in OUT
-        e = Element(tag, f"{tag}.{names.split()[0]}" if names else tag, out)
+        name = re.sub(r"\d+", "", names.split()[0]) if names.split() else ""  # post-12 and post-13 are one part of their host
+        e = Element(tag, f"{tag}.{name}" if name else tag, out)
         stack[-1].items.append(e)
         stack.append(e)
     return root
@@ -114,11 +117,41 @@ def wrapper(e: Element) -> dict:
                 children[-1] = align(children[-1], w, repeated=True)
             else:
                 children.append(w)
+    children = bounded(children)
     return {"label": e.label, "tag": e.tag, "out": e.out, "optional": False, "repeated": False, "pages": 1, "text": len(text), "constant": hash_text(text), "children": children}
 
 
-def hash_text(text: str) -> str | None:
-    return text if len(text) <= 80 else None
+def hash_text(text: str) -> str:
+    return text if len(text) <= 80 else hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+
+def bounded(children: list[dict]) -> list[dict]:
+    """At most MOST_CHILDREN children; what is folded (any of a tag: `div.*`, of all tags: `*`) stands at the end."""
+    plain, wild = [c for c in children if not folded(c)], {}
+
+    def fold(c: dict, tag: str) -> None:
+        label = ("!" if c["out"] else "") + ("*" if tag == "*" else f"{tag}.*")
+        w = {**c, "label": label, "tag": tag, "optional": True, "repeated": True}
+        wild[label] = {**align(wild[label], w), "optional": True, "repeated": True} if label in wild else w
+
+    for c in children:
+        if folded(c):
+            fold(c, c["tag"])
+    if len(plain) + len(wild) > MOST_CHILDREN:
+        often = {i for _, i in sorted((-c["pages"], i) for i, c in enumerate(plain))[: MOST_CHILDREN // 2]}
+        for i, c in enumerate(plain):
+            if i not in often:
+                fold(c, c["tag"])
+        plain = [c for i, c in enumerate(plain) if i in often]
+        if len(plain) + len(wild) > MOST_CHILDREN:
+            each, wild = list(wild.values()), {}
+            for c in each:
+                fold(c, c["tag"] if c["tag"] in ("article", "main") else "*")
+    return plain + [wild[k] for k in sorted(wild)]
+
+
+def folded(c: dict) -> bool:
+    return c["label"].endswith("*")
 
 
 def align(a: dict, b: dict, repeated: bool = False) -> dict:
@@ -132,9 +165,7 @@ def align(a: dict, b: dict, repeated: bool = False) -> dict:
         if x < len(a["children"]):
             children.append(align(a["children"][x], b["children"][y]))
         i, j = x + 1, y + 1
-    if len(children) > MOST_CHILDREN:
-        least = sorted((c["pages"] for c in children), reverse=True)[MOST_CHILDREN - 1]
-        children = [c for c in children if c["pages"] >= least][:MOST_CHILDREN]
+    children = bounded(children)
     same = a["constant"] is not None and a["constant"] == b["constant"]
     return {
         "label": a["label"], "tag": a["tag"], "out": a["out"], "optional": a["optional"] or b["optional"], "repeated": repeated or a["repeated"] or b["repeated"],
@@ -171,30 +202,36 @@ def _mass(w: dict) -> int:
     return own + sum(map(_mass, w["children"]))
 
 
-def main_places(w: dict) -> list[list[str]]:
-    """Paths of labels to where the host's main text is."""
-    named: list[tuple[int, list[str]]] = []
+def main_places(w: dict) -> list[list]:
+    """Paths of labels to where the host's main text is.
+
+    A step into folded children is a list: their tag, then the labels beside them.
+    """
+    named: list[tuple[int, list]] = []
 
-    def walk(x: dict, path: list[str]) -> None:
+    def step(x: dict, c: dict) -> str | list[str]:
+        return [c["tag"], *(y["label"] for y in x["children"] if not folded(y))] if folded(c) else c["label"]
+
+    def walk(x: dict, path: list) -> None:
         if x["out"]:
             return
         if x["tag"] in ("article", "main"):
             named.append((sum(c["text"] for c in _all(x)), path))
             return
         for c in x["children"]:
-            walk(c, [*path, c["label"]])
+            walk(c, [*path, step(x, c)])
 
     walk(w, [])
     if named:
         most = max(n for n, _ in named)
         return [p for n, p in named if 2 * n >= most]
-    path: list[str] = []
+    path: list = []
     total = _mass(w)
-    while w["children"]:
+    while total and w["children"]:
         best = max(w["children"], key=_mass)
-        if not total or 10 * _mass(best) < 9 * total:
+        if 10 * _mass(best) < 9 * total:
             break
-        w, path = best, [*path, best["label"]]
+        w, path = best, [*path, step(w, best)]
     return [path]
 
 
@@ -205,7 +242,7 @@ def _all(w: dict) -> Iterator[dict]:
             yield from _all(c)
 
 
-def blocks(e: Element, places: list[list[str]]) -> list[str]:
+def blocks(e: Element, places: list[list]) -> list[str]:
     """The page's blocks of main text; an article or main element counts wherever the page has it."""
     found: list[str] = []
 
@@ -233,10 +270,13 @@ def blocks(e: Element, places: list[list[str]]) -> list[str]:
             return
         for item in x.items:
             if isinstance(item, Element) and not item.out:
-                onward = [p[1:] for p in left if p[0] == item.label]
+                onward = [p[1:] for p in left if fits(p[0], item)]
                 if onward:
                     walk(item, onward)
 
+    def fits(step: str | list[str], x: Element) -> bool:
+        return step == x.label if isinstance(step, str) else step[0] in ("*", x.tag) and x.label not in step[1:]
+
     walk(e, places)
     return found
 

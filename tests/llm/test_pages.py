@@ -42,3 +42,23 @@ def test_names_around_and_inside_articles(spark):
     rows = [(i, "http://n.example/", page(f"<div class='content has-sidebar'><article><p>body {i} &am<b>p; x</b></p><section class='comments'><article class='comment'><p>first!</p></article></section></article><div class='sidebar'>side</div></div>")) for i in range(4)]
     for r in pages.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         assert r.text == f"body {r.page_id} &amp; x"
+
+
+def texts(spark, rows):
+    return {r.page_id: r.text for r in pages.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+
+
+def test_parts_of_one_page_each_keep_their_text(spark):
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in str(1000 + i))
+    teaser = lambda i: f"<div class='latest'><p>{f'latest of page {i} ' * 40}</p></div>"
+    digits = [(i, "http://d.example/", page(f"{teaser(i)}<div id='post-{i}'><p>{f'own words {i} ' * 10}</p></div>")) for i in range(200)]
+    slugs = [(1000 + i, "http://s.example/", page(f"{teaser(i)}<div id='{name(i)}'><p>{f'own words {i} ' * 10}</p></div>")) for i in range(200)]
+    got = texts(spark, digits + slugs)
+    for i in range(200):
+        own = f"own words {i} " * 10
+        assert own.strip() in got[i] and own.strip() in got[1000 + i]
+
+
+def test_folded_children_lose_nothing():
+    w = pages.wrapper(pages.parse("".join(f"<x{i}>{'text ' * 5}</x{i}><div class='c{chr(97 + i % 26)}{chr(97 + i // 26)}'>{'text ' * 5}</div>" for i in range(90))))
+    assert len(w["children"]) <= pages.MOST_CHILDREN and sum(x["text"] for x in pages._all(w)) == 180 * 24
