@@ -7,8 +7,8 @@ subsequence of labels, what has no partner becomes optional, and text that diffe
 a merge, so each task folds its pages into one wrapper a host, and these meet by host: no page is sent, and a host with
 a third of all pages arrives as a few small trees.
 
-The wrapper then says where the host's main text is: the article or main element with the most text or, where a host has
-none, the smallest element that holds most of the text outside links, slots that never vary and parts named as menus, headers, footers,
+The wrapper then says where the host's main text is: its article and main elements or, where a host has none, the
+smallest element that holds all text outside links, slots that never vary and parts named as menus, headers, footers,
 sidebars, notices, adverts, forms or comments. Each page is aligned with its host's wrapper and
 gives its blocks under that place; one that lacks the place is judged by itself.
 
@@ -194,6 +194,10 @@ def _common(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+#: The places of a host with article or main elements: all of these, wherever a page has them.
+ARTICLES = [["article|main"]]
+
+
 def _mass(w: dict) -> int:
     """Characters that can be main text: outside links, named parts and (on several pages) slots that never vary."""
     if w["out"]:
@@ -203,35 +207,20 @@ def _mass(w: dict) -> int:
 
 
 def main_places(w: dict) -> list[list]:
-    """Paths of labels to where the host's main text is.
+    """Paths to where the host's main text is: ARTICLES if it has any, else one path of labels.
 
     A step into folded children is a list: their tag, then the labels beside them.
     """
-    named: list[tuple[int, list]] = []
-
-    def step(x: dict, c: dict) -> str | list[str]:
-        return [c["tag"], *(y["label"] for y in x["children"] if not folded(y))] if folded(c) else c["label"]
-
-    def walk(x: dict, path: list) -> None:
-        if x["out"]:
-            return
-        if x["tag"] in ("article", "main"):
-            named.append((sum(c["text"] for c in _all(x)), path))
-            return
-        for c in x["children"]:
-            walk(c, [*path, step(x, c)])
-
-    walk(w, [])
-    if named:
-        most = max(n for n, _ in named)
-        return [p for n, p in named if 2 * n >= most]
+    if any(x["tag"] in ("article", "main") for x in _all(w)):
+        return ARTICLES
     path: list = []
     total = _mass(w)
     while total and w["children"]:
         best = max(w["children"], key=_mass)
-        if 10 * _mass(best) < 9 * total:
+        if _mass(best) < total:  # something beside it can be main text
             break
-        w, path = best, [*path, step(w, best)]
+        path = [*path, [best["tag"], *(c["label"] for c in w["children"] if not folded(c))] if folded(best) else best["label"]]
+        w = best
     return [path]
 
 
@@ -265,18 +254,19 @@ def blocks(e: Element, places: list[list]) -> list[str]:
         end()
 
     def walk(x: Element, left: list[list[str]]) -> None:
-        if any(not p for p in left):
+        if any(not p for p in left) or everywhere and x.tag in ("article", "main"):
             collect(x)
             return
         for item in x.items:
             if isinstance(item, Element) and not item.out:
-                onward = [p[1:] for p in left if fits(p[0], item)]
+                onward = left if everywhere else [p[1:] for p in left if fits(p[0], item)]
                 if onward:
                     walk(item, onward)
 
     def fits(step: str | list[str], x: Element) -> bool:
         return step == x.label if isinstance(step, str) else step[0] in ("*", x.tag) and x.label not in step[1:]
 
+    everywhere = places == ARTICLES
     walk(e, places)
     return found
 

@@ -62,3 +62,12 @@ def test_parts_of_one_page_each_keep_their_text(spark):
 def test_folded_children_lose_nothing():
     w = pages.wrapper(pages.parse("".join(f"<x{i}>{'text ' * 5}</x{i}><div class='c{chr(97 + i % 26)}{chr(97 + i // 26)}'>{'text ' * 5}</div>" for i in range(90))))
     assert len(w["children"]) <= pages.MOST_CHILDREN and sum(x["text"] for x in pages._all(w)) == 180 * 24
+
+
+def test_short_articles_and_leads_stay(spark):
+    rows = [(i, "http://a.example/", page(f"<article class='lead'><p>lead {i}</p></article><article class='body'><p>{f'body {i} ' * 50}</p></article>")) for i in range(5)]
+    rows += [(100 + i, "http://b.example/", page(f"<div class='by'>by writer {i}</div><div class='body'><p>{f'body {i} ' * 200}</p></div>")) for i in range(5)]
+    got = texts(spark, rows)
+    for i in range(5):
+        assert got[i] == f"lead {i}\n" + (f"body {i} " * 50).strip()
+        assert f"by writer {i}\n" + (f"body {i} " * 200).strip() in got[100 + i]
