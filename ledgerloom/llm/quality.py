@@ -28,7 +28,7 @@ COMMON = {
 CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "symbol": r"[#*$%&|<>]+", "mark": r"[!-\"'-/:-;=?@\[-`{}~]+"}
 #: Languages whose references are broadcast at most; a table with more is joined.
 BROADCAST_LANGUAGES = 10_000
-#: Words from which keep_good judges a text by its common words, however few these are.
+#: Words from which a text is judged by its common words, however few these are.
 LONG_WORDS = 150
 _WHITE = r"[\x20\x09-\x0D]+"
 _PLACE = (1 << 24) - 1
@@ -85,7 +85,7 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.when((tp > 0) & (tq > 0) & (F.size(p) == F.size(q)), F.sqrt(F.greatest(_total(each) / 2, F.lit(0.0))))
 
 
-def score_quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least_words: int = 50, least_chars: int = 250, least_common: int = 20, most_char_distance: float = 0.17, most_word_distance: float = 0.55, long_words: int | None = None, reference: DataFrame | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least_words: int = 50, least_chars: int = 250, least_common: int = 20, most_char_distance: float = 0.17, most_word_distance: float = 0.55, long_words: int | None = LONG_WORDS, reference: DataFrame | None = None) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, base_failed and kept.
 
     A text of `long_words` words is judged by its common words however few it has; with none it is as far as can be.
@@ -125,7 +125,7 @@ def score_quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", long_words: int | None = LONG_WORDS, **options) -> DataFrame:
+def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The documents that the rules keep, with their own columns, whatever these are called."""
     rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return score_quality(rows, long_words=long_words, **options).where("kept").select("_row.*")
+    return score_quality(rows, **options).where("kept").select("_row.*")

@@ -39,7 +39,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.score_quality(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = quality.score_quality(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), long_words=None)  # as its SQL
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -134,10 +134,13 @@ def _quality_sql() -> str:
     term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
     distance = lambda p, q: f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {term(f'({p}[i] / list_sum({p}))', f'({q}[i] / list_sum({q}))')} + {term(f'({q}[i] / list_sum({q}))', f'({p}[i] / list_sum({p}))')})) / 2, 0)) END"
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '') AS words, list_filter(string_split_regex(lower(text), '[ 	-]+'), lambda x: x <> '') AS lowered, {common} AS listed FROM d),
+w AS (SELECT *, list_filter(string_split_regex(text, '[ 	-
+]+'), lambda x: x <> '') AS words, list_filter(string_split_regex(lower(text), '[ 	-
+]+'), lambda x: x <> '') AS lowered, {common} AS listed FROM d),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM (SELECT doc_id, i, array_to_string(words[i:i + 2], ' ') AS tri FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2))),
 r AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE n > 1) GROUP BY 1),
-l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY 1),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY 1),
 c AS (SELECT *, length(array_to_string(words, '')) AS word_chars, [{classes}] AS part, list_transform(listed, lambda x: len(list_filter(lowered, lambda y: y = x))::DOUBLE) AS common FROM w),
 e AS (SELECT *, list_concat(part, [(length(text) - word_chars)::DOUBLE, (strlen(text) - length(text))::DOUBLE]) AS six FROM c),
 h AS (SELECT *, list_append(six, greatest(length(text) - list_sum(six), 0)) AS chars FROM e),
