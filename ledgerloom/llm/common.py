@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ledgerloom.session import materialize  # noqa: F401  (the operators write their tables with it)
 
@@ -120,6 +122,21 @@ class HashSet:
 
 def held(df: DataFrame, **columns) -> DataFrame:
     """df with columns that are computed once for each row, however often later expressions (lambdas too) name them."""
-    from pyspark.sql import functions as F
-
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+class Carried:
+    """The columns of docs that pass through an operator: under numbers inside it, so that no name can clash.
+
+    Columns of docs named as the operator's results (in any case) are replaced by these.
+    """
+
+    def __init__(self, docs: DataFrame, results: tuple[str, ...] | list[str] = ()):
+        named = {r.lower() for r in results}
+        fields = [f for f in docs.schema.fields if f.name.lower() not in named]
+        self.names = [f"own{i}" for i in range(len(fields))]
+        #: To select from docs, and to select again from what the operator made.
+        self.into: list[Column] = [F.col("`" + f.name.replace("`", "``") + "`").alias(n) for f, n in zip(fields, self.names)]
+        self.back: list[Column] = [F.col(n).alias(f.name) for f, n in zip(fields, self.names)]
+        self.of = dict(zip((f.name for f in fields), self.names))
+        self.schema = StructType([StructField(n, f.dataType) for f, n in zip(fields, self.names)])
