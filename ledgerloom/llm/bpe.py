@@ -1,7 +1,8 @@
 """Byte-level BPE encoding by backtracking, and decoding by an offset table.
 
 A text is cut at the vocabulary's special tokens and then into pieces by the byte-level pattern. In a piece an
-Aho-Corasick automaton finds every token at every place. The encoder takes the longest token that is compatible with the
+Aho-Corasick automaton finds the longest token at each place that a token starts at, looking no further than the longest
+token reaches. The encoder takes the longest token that is compatible with the
 one before it, where two tokens are compatible when merging their joined bytes gives these two back; where no token fits
 it takes its last token back and never again ends one there. Sequences of compatible neighbours are exactly what the
 merges give, and each place is left at most once, so the time is linear. Compatibility is a table filled as pairs come
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import slices
+from .common import Carried, slices
 
 #: Fixed value: the pattern that byte-level vocabularies of this kind were made with.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,6 +49,8 @@ def near_pieces() -> re.Pattern:
 #: Entries at which a worker's memo of pieces grows old (one old memo is kept), and at which that of pairs is emptied;
 #: nothing depends on it but speed.
 MEMO = 400_000
+#: Characters up to which a piece is remembered.
+SHORT = 64
 
 
 def byte_names() -> list[str]:
@@ -64,6 +67,8 @@ class _Pieces(dict):
         self.encode, self.old = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > SHORT:
+            return np.array(self.encode(piece), "<i4").tobytes()
         if len(self) > MEMO:
             self.old = dict(self)
             self.clear()
@@ -102,6 +107,7 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.offset = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
         self.size = [len(t) for t in self.words]
+        self.reach = max(self.size)
         #: The longest token that is a proper prefix of each token, or -1.
         self.shorter = [next((self.vocab[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.vocab), -1) for t in self.words]
         self.compatible: dict[tuple[int, int], bool] = {}
@@ -137,9 +143,9 @@ class Codec:
         if text in self.vocab and self._merged(list(text)) == [text]:
             return [self.vocab[text]]
         dead = bytearray(len(text) + 1)  # places where no token may end
-        size, shorter, fits, longest = self.size, self.shorter, self.compatible, self.find.iter_long
+        size, shorter, fits, longest, reach = self.size, self.shorter, self.compatible, self.find.iter_long, self.reach
         pos, ids, last = 0, [], -1
-        i = next(longest(text))[1]
+        i = next(longest(text[:reach]))[1]
         while True:
             if i < 0:  # nothing fits after the last token: take it back
                 dead[pos] = 1
@@ -155,7 +161,7 @@ class Codec:
             if end == len(text):
                 return ids
             pos, last = end, i
-            i = next(longest(text, pos))[1]
+            i = next(longest(text[pos : pos + reach]))[1]
 
     def split(self, text: str) -> list[str]:
         return (self.pieces if self.far.search(text) else self.near).findall(text)
@@ -190,8 +196,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text_col: str = "text"
     if len(content) > 64 << 20:
         raise ValueError("the vocabulary is too large to broadcast")
     shared, mark = docs.sparkSession.sparkContext.broadcast(content), hash(content)
-    own = [c for c in docs.columns if c not in (ids_col, decoded_col)]
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *own)
+    results = [ids_col, *([decoded_col] if decoded_col else [])]
+    own = Carried(docs, results)
+    decoding = bool(decoded_col)
+    names = [*own.names, "ids", *(["decoded"] if decoded_col else [])]
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), *own.into)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _codecs:
@@ -202,9 +211,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text_col: str = "text"
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             out = [*b.columns[1:], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))]
-            if decoded_col:
+            if decoding:
                 out.append(pa.array([codec.decode(x).decode("utf-8", "replace") for x in ids], pa.string()))
-            yield pa.RecordBatch.from_arrays(out, names=[*own, ids_col, *([decoded_col] if decoded_col else [])])
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
-    schema = rows.drop("_text").schema.add(ids_col, ArrayType(IntegerType()))
-    return rows.mapInArrow(encode, schema.add(decoded_col, "string") if decoded_col else schema)
+    schema = own.schema.add("ids", ArrayType(IntegerType()))
+    found = rows.mapInArrow(encode, schema.add("decoded", "string") if decoded_col else schema)
+    return found.select(*own.back, F.col("ids").alias(ids_col), *([F.col("decoded").alias(decoded_col)] if decoded_col else []))

@@ -148,6 +148,23 @@ def test_bpe_matches_the_tokenizers_library(spark):
     assert bpe.encode_documents(docs.limit(0), VOCABULARY).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
+def test_long_pieces_take_time_by_their_length():
+    import time
+
+    with open(VOCABULARY, encoding="utf-8") as f:
+        codec = bpe.Codec(f.read())
+    for letters in ("ab", "é", "-", "abc"):
+        took = []
+        for n in (100_000, 200_000):
+            text = "".join(letters[i * i * 7 % 11 % len(letters)] for i in range(n))
+            began = time.process_time()
+            assert codec.decode(codec.encode(text)).decode() == text
+            took.append(time.process_time() - began)
+        assert took[1] < 3 * took[0] + 1, (letters, took)
+    assert not any(len(p) > bpe.SHORT for p in codec.memo)
+
+
 def test_licences(spark):
     docs, rows = documents(spark)
     got = {r.doc_id: (r.n_words, len(r.places), min([p.start for p in r.places], default=None), max([p.start for p in r.places], default=None), ",".join(r.base_labels)) for r in licenses.scan_licenses(docs.withColumn("score", F.lit("x"))).collect()}
