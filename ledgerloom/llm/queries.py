@@ -75,7 +75,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.find_personal(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["lo"].cast("string"), x["hi"].cast("string"))), ",")
-    return found.select("doc_id", *map(number, personal.KINDS), _sha(listed("base")).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *map(number, personal.BASE), _sha(listed("base")).alias("base_sha256"), listed("spans").alias("spans"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

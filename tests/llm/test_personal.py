@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import brute
 
@@ -42,3 +44,31 @@ def test_estimate_tells_good_labelers_from_bad():
     p = personal.estimate(counts)
     assert p[0b1011] > 0.9 and p[0b1111] > 0.9 and p[0b0000] < 0.1 and p[0b0100] < 0.3
     assert personal.estimate({}) == {}
+
+
+def test_texts_full_of_data_take_time_by_their_length(spark):
+    pieces = ["a@b.co ", "1.2.3.4 ", "+1 555 123 4567, ", "jane (at) x (dot) com; ", "(325) 555-8094 ", "4111111111111111 ", 'token = "04dbebab91ab85687d" ']
+    took = []
+    for n in (1, 10_000, 20_000):
+        rows = [p * n for p in pieces] + ["".join(pieces) * (n // 4)]
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        began = time.time()
+        got = {r.doc_id: (r.n, r.hi) for r in personal.find_personal(df).selectExpr("doc_id", "size(base) AS n", "get(base, size(base) - 1).hi AS hi").collect()}
+        took.append(time.time() - began)
+        expected = [spans(t) for t in rows]
+        assert got == {i: (len(x), x[-1][2] if x else None) for i, x in enumerate(expected)}
+    assert took[2] < 2.5 * took[1] + 3 and took[2] < 60, took
+
+
+def test_added_spans_of_the_table(spark):
+    """Recall of personal data and secrets as the table plants them; texts without a digit and an at sign stay clean."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: (r.text, [(s.kind, s.lo, s.hi) for s in r.spans]) for r in personal.find_personal(docs).collect()}
+    planted = clean = 0
+    for text, spans in found.values():
+        secret = [m.span() for m in re.finditer(r'token = "[0-9A-Fa-f]{40}"', text or "")]
+        assert [x[1:] for x in spans if x[0] == "secret"] == secret
+        planted += bool(secret)
+        clean += not re.search(r"[0-9]", text or "")
+        assert re.search(r"[0-9]", text or "") or not spans
+    assert planted and clean
