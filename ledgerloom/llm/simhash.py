@@ -5,12 +5,16 @@ fingerprints differ in at least as many bits as their vectors differ under Manha
 groups, so vectors within distance 3 agree exactly on four groups at least; each choice of four groups is one grid, and
 only fingerprints of the same cell meet. What meets is cut by the Manhattan bound and then by the exact count of bits.
 
-Distinct fingerprints take part, so copies never pair. A cell with more than CELL of them is split into blocks that meet
-two by two, in tasks of their own. Each task returns the links that join what it has not joined yet (a spanning
-forest of its cell), and components follow by alternating large-star and small-star steps on those links.
+Distinct fingerprints take part, so copies never pair. Fingerprints of a cell agree in the counts of their segments on
+four groups; if they also link, at most one of these segments differs, so three of the four groups agree bit by bit. A
+cell with more than CELL of them is therefore dealt again by each choice of three, and what is still too large is split
+into blocks that meet two by two, in tasks of their own. Each task returns the links that join what it has not joined yet
+(a spanning forest of its cell), and components follow by alternating large-star and small-star steps on those links.
+Their nodes are fingerprints, so a component holds together whatever ids its rows have.
 
 A null text, like one without words, has fingerprint zero and links as any other. Repeated rows (also of one doc_id)
-each get a row of the result. Null ids are kept and have their component's smallest id; empty tables give no rows.
+each get a row of the result. Null ids are kept and have their component's smallest id (null if it has no other); empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, slices
+from .common import Carried, lower_ascii, materialize, slices
 
 SEED = 42
 GROUPS = 7
@@ -54,28 +58,45 @@ def _fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """docs' other columns and `_fp`, the fingerprint as a signed long."""
-    kept = [f for f in docs.schema.fields if f.name not in (text_col, "_fp")]
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *[f.name for f in kept])
+    """docs' other columns and `fp`, the fingerprint as a signed long; docs has no column of that name."""
+    kept = [f for f in docs.schema.fields if f.name != text_col]
+    rows = docs.select(F.col(text_col).cast("string").alias(text_col), *[f.name for f in kept])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 0):
             fp = _fingerprints(b.column(0).to_pylist(), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp)], names=[*b.schema.names[1:], "_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp)], names=[*b.schema.names[1:], "fp"])
 
-    return rows.mapInArrow(add, rows.drop("_text").schema.add("_fp", "long"))
+    return rows.mapInArrow(add, rows.drop(text_col).schema.add("fp", "long"))
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _choices(most: int) -> list[tuple[int, ...]]:
+    """The choices of GROUPS - most groups, each group as the mask of its bits."""
+    cuts = [64 * i // (2 * GROUPS) * 2 for i in range(GROUPS + 1)]
+    return list(itertools.combinations([(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:])], GROUPS - most))
 
 
 def _grid(fp: Column, most: int) -> Column:
-    """The cells of a fingerprint: for each choice of GROUPS - most groups, a hash of the choice and their popcounts."""
+    """The cells of a fingerprint: for each choice of groups, a hash of the choice and of their popcounts."""
     odd = F.lit(0x5555555555555555)
     low, high = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
     # the bit counts of all 32 segments at once, two bits each: a sum that can't overflow
     counts = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
-    cuts = [64 * i // (2 * GROUPS) * 2 for i in range(GROUPS + 1)]
-    masks = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:])]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return F.array(*[F.xxhash64(F.lit(n), counts.bitwiseAND(F.lit(signed(sum(c))))) for n, c in enumerate(itertools.combinations(masks, GROUPS - most))])
+    return F.array(*[F.xxhash64(F.lit(n), counts.bitwiseAND(F.lit(_signed(sum(c))))) for n, c in enumerate(_choices(most))])
+
+
+def _finer(fp: Column, cell: Column, n: Column, most: int) -> Column:
+    """The cells into which a hot cell of choice n is dealt: for all but every (most // 2) of its groups, their bits.
+
+    Segments of equal counts differ in two bits or none, so links of `most` bits differ in most // 2 of them at most.
+    """
+    masks = [[_signed(sum(c)) for c in itertools.combinations(groups, max(1, len(groups) - most // 2))] for groups in _choices(most)]
+    own = F.get(F.array(*[F.array(*map(F.lit, m)) for m in masks]), n)
+    return F.transform(own, lambda m, i: F.xxhash64(cell, i, fp.bitwiseAND(m)))
 
 
 def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -117,27 +138,34 @@ def _forest(key: np.ndarray, fp: np.ndarray, node: np.ndarray, most: int) -> lis
     return links
 
 
+def _sized(cells: DataFrame) -> DataFrame:
+    """cells with `size`, where it is above one; counts are summed by task first, and a hot cell is split in the join."""
+    return cells.join(cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "cell")
+
+
 def links(nodes: DataFrame, most: int = 3) -> DataFrame:
-    """From (node, _fp) with distinct _fp: links (u, v), u > v, that connect whatever links of `most` bits connect."""
-    cells = nodes.select("node", "_fp", F.explode(_grid(F.col("_fp"), most)).alias("cell"))
-    sized = cells.withColumn("size", F.count("*").over(Window.partitionBy("cell"))).where("size > 1")
+    """From distinct fp: links (u, v) of fingerprints, u > v, that connect whatever links of `most` bits connect."""
+    cells = nodes.select("fp", F.posexplode(_grid(F.col("fp"), most)).alias("n", "cell"))
+    sized = materialize(_sized(cells), "cells")
+    again = sized.where(F.col("size") > CELL).select("fp", F.explode(_finer(F.col("fp"), F.col("cell"), F.col("n"), most)).alias("cell"))
     blocks = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
-    met = (
-        sized.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("_fp"), F.col("blocks")).cast("int"))
-        .select("node", "_fp", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("node", "_fp", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    split = (
+        _sized(again).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        .select("fp", "cell", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("fp", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
     )
+    met = sized.where(F.col("size") <= CELL).select("fp", "cell").unionByName(split)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 2
 
         def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = _forest(cols[0], cols[1].view(np.uint64), cols[2], most)
+            pairs = _forest(cols[0], cols[1].view(np.uint64), cols[1], most)
             u, v = [max(x) for x in pairs], [min(x) for x in pairs]
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for b in batches:
-            cols = [np.concatenate([h, np.asarray(b.column(c))]) for h, c in zip(held, ("cell", "_fp", "node"))]
+            cols = [np.concatenate([h, np.asarray(b.column(c)).astype(np.int64)]) for h, c in zip(held, ("cell", "fp"))]
             if len(cols[0]):
                 cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on in the next batch
                 if cut:
@@ -171,22 +199,33 @@ def components(pairs: DataFrame) -> DataFrame:
     return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _components(marked: DataFrame, most: int) -> DataFrame:
+    """(fp, component) for every fingerprint of marked: the smallest fingerprint (as a signed long) that links reach."""
+    nodes = marked.select("fp").distinct()
+    named = components(links(nodes, most)).select(F.col("node").alias("fp"), "component")
+    return nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
     """One row per document: its id, `fingerprint` (16 hex digits) and `component_id`, the smallest id of its component."""
-    marked = materialize(fingerprints(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t")), "_t", shingle), "fingerprints")
-    nodes = marked.groupBy("_fp").agg(F.min("_id").alias("node"))
-    named = components(links(nodes.where("node is not null"), most))
-    groups = nodes.join(named, "node", "left").select(F.col("_fp").alias("_f"), F.coalesce("component", "node").alias("component_id"))
-    return marked.join(groups, marked["_fp"] == groups["_f"], "left").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    marked = materialize(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", shingle), "fingerprints")
+    of = _components(marked, most)
+    least = marked.groupBy("fp").agg(F.min("id").alias("id")).join(of, "fp").groupBy("component").agg(F.min("id").alias("component_id"))
+    named = of.join(least, "component").select("fp", "component_id")
+    return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the smallest id stays.
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the smallest id stays.
 
-    Ids name documents: of rows that share an id one stays. Rows without an id can't be named and all stay.
+    Of rows that share it, the one with the smallest hash of its values stays, and of equal rows one. Rows of one id in
+    different components each count in their own. Rows without an id can't be named: all stay, and none is dropped for them.
     """
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay"))
-    rows = docs.withColumn("_key", F.col(id_col).cast("long"))
-    once = rows.join(stay, rows["_key"] == stay["_stay"], "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_row = 1")
-    return once.drop("_key", "_row").unionByName(docs.where(F.col(id_col).cast("long").isNull()))
+    own = Carried(docs)
+    key = F.xxhash64(*[F.col(f.name) for f in own.schema.fields if "map<" not in f.dataType.simpleString()])
+    rows = docs.select(*own.into).withColumn("id", F.col(own.of[id_col]).cast("long")).withColumn("key", key)
+    marked = materialize(fingerprints(rows.select("id", "key", F.col(own.of[text_col]).alias("text")), "text", shingle), "fingerprints")
+    first = marked.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "key")).alias("first"))
+    stay = first.join(_components(marked, most), "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    once = rows.join(stay, ["id", "key"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("id"))).where("nth = 1")
+    return once.select(*own.back).unionByName(rows.where("id is null").select(*own.back))

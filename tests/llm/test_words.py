@@ -112,9 +112,11 @@ def test_links_in_split_cells(spark):
             values.add(v)
             v ^= 1 << r.randrange(64)
     values = list(enumerate(sorted(values)))
-    nodes = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in values], "node long, _fp long")
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    values = [(signed(v), v) for _, v in values]
+    nodes = spark.createDataFrame([(i,) for i, _ in values], "fp long")
     expected = brute.components(values)
-    for cell in (2048, 3):
+    for cell in (2048, 3, 1):
         simhash.CELL, before = cell, simhash.CELL
         try:
             got = {x.node: x.component for x in simhash.components(simhash.links(nodes)).collect()}
@@ -131,6 +133,20 @@ def test_near_duplicates_of_nulls_and_repeated_ids(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == ["1", "5", "None"]
 
 
+def test_components_hold_together_over_rows_without_an_id(spark, monkeypatch):
+    rows = [(1, "0"), (None, "111"), (3, "111111"), (4, "1" * 40), (None, "1" * 64), (6, "0"), (6, "1" * 40), (6, "1" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def local(df, text_col="text", shingle=3):  # fingerprints in plain sight: the text's bits
+        return df.selectExpr("*", f"CASE WHEN length({text_col}) = 64 THEN -1 ELSE CAST(conv({text_col}, 2, 10) AS long) END AS fp").drop(text_col)
+
+    monkeypatch.setattr(simhash, "fingerprints", local)
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, 1), (1, 1), (3, 1), (4, 4), (6, 1), (6, 4), (6, 4)]
+    stay = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(docs.selectExpr("*", "1 AS fp", "2 AS id", "3 AS key", "4 AS nth")).collect())
+    assert stay == [(0, "111"), (0, "1" * 64), (1, "0"), (4, "1" * 40)]
+
+
 VOCABULARY = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.json"
 
 
