@@ -39,8 +39,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.score_quality(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), long_words=None)  # as its SQL
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    found = quality.score_quality(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), carry=["doc_id"])
+    rounded = [F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")]
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *rounded)
 
 
 def vocabulary() -> str:
@@ -133,7 +134,7 @@ def _quality_sql() -> str:
     classes = ", ".join(f"({left(p)})::DOUBLE" for p in quality.CLASSES.values())
     term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
     distance = lambda p, q: f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: {term(f'({p}[i] / list_sum({p}))', f'({q}[i] / list_sum({q}))')} + {term(f'({q}[i] / list_sum({q}))', f'({p}[i] / list_sum({p}))')})) / 2, 0)) END"
-    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '[ 	-
 ]+'), lambda x: x <> '') AS words, list_filter(string_split_regex(lower(text), '[ 	-
 ]+'), lambda x: x <> '') AS lowered, {common} AS listed FROM d),
@@ -142,15 +143,15 @@ r AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, un
 l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
 ]') GROUP BY 1),
 c AS (SELECT *, length(array_to_string(words, '')) AS word_chars, [{classes}] AS part, list_transform(listed, lambda x: len(list_filter(lowered, lambda y: y = x))::DOUBLE) AS common FROM w),
-e AS (SELECT *, list_concat(part, [(length(text) - word_chars)::DOUBLE, (strlen(text) - length(text))::DOUBLE]) AS six FROM c),
+e AS (SELECT *, list_concat(part, [(length(text) - word_chars)::DOUBLE, length(regexp_replace(text, '[\x00-\x7F]+', '', 'g'))::DOUBLE]) AS six FROM c),
 h AS (SELECT *, list_append(six, greatest(length(text) - list_sum(six), 0)) AS chars FROM e),
 a AS (SELECT lang, list(v ORDER BY i) AS ref FROM (SELECT lang, i, avg(v) AS v FROM (SELECT lang, unnest(range(1, len(chars) + 1)) AS i, unnest(list_transform(chars, lambda x: x / list_sum(chars))) AS v FROM h WHERE len(words) >= 50 AND list_sum(chars) > 0) GROUP BY 1, 2) GROUP BY 1),
 b AS (SELECT lang, list(v ORDER BY i) AS ref FROM (SELECT lang, i, avg(v) AS v FROM (SELECT lang, unnest(range(1, len(common) + 1)) AS i, unnest(list_transform(common, lambda x: x / list_sum(common))) AS v FROM h WHERE len(words) >= 50 AND list_sum(common) > 0) GROUP BY 1, 2) GROUP BY 1),
 j AS (SELECT h.doc_id, len(words)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, part[3]::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-  CASE WHEN list_sum(chars) >= 250 THEN {distance("h.chars", "a.ref")} END AS char_distance, CASE WHEN list_sum(common) >= 20 THEN {distance("h.common", "b.ref")} END AS word_distance
-  FROM h LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN a ON a.lang = h.lang LEFT JOIN b ON b.lang = h.lang),
+  CASE WHEN list_sum(chars) >= 250 THEN {distance("h.chars", "a.ref")} END AS char_distance, CASE WHEN list_sum(common) >= 20 OR len(words) >= {quality.LONG_WORDS} THEN CASE WHEN list_sum(common) = 0 AND list_sum(b.ref) > 0 THEN 1.0 ELSE {distance("h.common", "b.ref")} END END AS word_distance
+  FROM h LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN a ON a.lang IS NOT DISTINCT FROM h.lang LEFT JOIN b ON b.lang IS NOT DISTINCT FROM h.lang),
 k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(char_distance, 0) <= 0.17 AND coalesce(word_distance, 0) <= 0.55 AS kept FROM k"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(char_distance, 0) <= 0.17 AND coalesce(word_distance, 0) <= 0.55 AS kept, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM k"""
 
 
 ORACLE_SQL: dict[str, str] = {

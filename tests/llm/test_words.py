@@ -2,6 +2,7 @@ import hashlib
 import os
 
 import brute
+import numpy as np
 import pytest
 from data import documents
 from pyspark.sql import functions as F
@@ -43,6 +44,23 @@ def test_quality_base_matches_brute_force(spark):
     assert quality.score_quality(docs.limit(0)).count() == 0
 
 
+def test_windows_of_equal_hash_bits_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(quality, "_PLACE", (1 << 63) - 1 - ((1 << 63) - (1 << 62)))  # two bits of the hash are left
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join("abcdefgh"[j] for j in r.integers(0, 8, 150)), "en") for i in range(40)] + [(99, "x y z " * 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.n_repeat_words for x in quality.score_quality(docs).collect()}
+    assert got == {i: brute.quality_base(t)[4] for i, t, _ in rows}
+
+
+def test_characters_are_code_points_and_languages_keep_apart(spark):
+    rows = [(i, "語" * 126 + " " + "w " * 60, None if i % 2 else "") for i in range(8)] + [(9, "語" * 130, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang: round(r.chars[5], 6) for r in quality.references(docs).collect()} == {None: round(126 / 247, 6), "": round(126 / 247, 6)}
+    got = {r.doc_id: r.char_distance for r in quality.score_quality(docs, least_chars=140).collect()}
+    assert got[9] is None and got[0] is not None and quality.score_quality(docs, carry=["doc_id"]).columns[:2] == ["doc_id", "n_words"]
+
+
 def test_divergent_documents_are_rejected(spark):
     plain = "the river and the field of corn in the light of that morning was on the way to it "
     rows = [(i, plain * 2 + f"number {i} " + " ".join(f"w{i}x{j}" for j in range(60)), "en") for i in range(30)]
