@@ -3,7 +3,9 @@
 The automaton holds every run of words of every template. A document's words stream through it and give matching
 statistics: at each word, the longest run ending there that some template has. Runs of at least `least` words that can't
 grow are matches; matches that go forward in one template and leave at most `gap` words out in the document and in the
-template are chained, and a chain that covers `cover` words, or half of its template, labels the document. Words that no
+template are chained (a run that the template has several times may stand for each of them). A chain labels the document
+if it covers `cover` words, or half of its template, and `least` of its words stand in runs that templates of no other
+label have, so that wording which many notices share, or everyday prose, labels nothing. Words that no
 template has are found in numpy beforehand, and only runs of known words long enough to matter are streamed. Fixed
 phrases (the base) label a document wherever they stand.
 
@@ -19,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import HashSet, Words, slices
+from .common import Carried, HashSet, Words, slices
 
 #: Phrases and labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -40,22 +43,22 @@ _DDL = "n_words long, places array<struct<start:long,label:string>>, spans array
 
 
 class Automaton:
-    """Suffix automaton over several word sequences; each state knows where a run of it first ends in each sequence."""
+    """Suffix automaton over several word sequences; each state knows where its runs end in each sequence."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # sequence: end (exclusive) of the first occurrence
+        self.ends: list[dict[int, list[int]]] = [{}]  # sequence: ends (exclusive), in order
         for n, words in enumerate(sequences):
             at = 0
             for end, w in enumerate(words, 1):
                 at = self._add(at, w)
                 s = at
-                while s > 0 and n not in self.ends[s]:
-                    self.ends[s][n] = end
+                while s > 0:
+                    self.ends[s].setdefault(n, []).append(end)
                     s = self.link[s]
 
-    def _state(self, length: int, link: int, onward: dict[int, int], ends: dict[int, int]) -> int:
+    def _state(self, length: int, link: int, onward: dict[int, int], ends: dict[int, list[int]]) -> int:
         self.next.append(onward)
         self.link.append(link)
         self.length.append(length)
@@ -67,7 +70,7 @@ class Automaton:
         q = self.next[p][w]
         if self.length[q] == self.length[p] + 1:
             return q
-        own = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]), dict(self.ends[q]))
+        own = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]), {n: list(e) for n, e in self.ends[q].items()})
         self.link[q] = own
         while p >= 0 and self.next[p].get(w) == q:
             self.next[p][w] = own
@@ -119,18 +122,36 @@ class _Scanner:
 
     def chains(self, found: list[tuple[int, int, int]]) -> list[dict]:
         """Matches of one document (in order) joined to spans by template."""
-        by: dict[int, list[list[int]]] = {}
+        live: dict[int, list[list[int]]] = {}
+        done: dict[int, list[list[int]]] = {}
         for lo, hi, s in found:
-            for n, end in self.automaton.ends[s].items():
-                t = end - (hi - lo)
-                chains = by.setdefault(n, [])
-                for c in chains:  # start, stop, template start and stop, words matched
-                    if 0 <= lo - c[1] <= self.gap and 0 <= t - c[3] <= self.gap:
-                        c[1], c[3], c[4] = hi, end, c[4] + hi - lo
-                        break
-                else:
-                    chains.append([lo, hi, t, end, hi - lo])
-        return [{"label": self.labels[n], "start": c[0], "stop": c[1], "template_start": c[2], "template_stop": c[3], "matched": c[4]} for n, chains in sorted(by.items()) for c in chains if c[4] >= min(self.cover, -(-len(self.sequences[n]) // 2))]
+            own = len({self.labels[n] for n in self.automaton.ends[s]}) == 1
+            for n, ends in self.automaton.ends[s].items():
+                near = []
+                for c in live.get(n, []):  # start, stop, template start and stop, words matched, words of this label only
+                    (near if lo - c[1] <= self.gap else done.setdefault(n, [])).append(c)
+                grown = False
+                for c in near:
+                    skip = max(0, c[1] - lo)  # words that the chain has already
+                    t = min((end - (hi - lo) + skip for end in ends if 0 <= end - (hi - lo) + skip - c[3] <= self.gap), default=None)
+                    if t is not None and skip < hi - lo:
+                        c[1], c[3], c[4], c[5] = hi, t + hi - lo - skip, c[4] + hi - lo - skip, c[5] + own * (hi - lo - skip)
+                        grown = True
+                if not grown:
+                    near += [[lo, hi, end - (hi - lo), end, hi - lo, own * (hi - lo)] for end in ends]
+                live[n] = near
+        spans = []
+        for n in sorted({*live, *done}):
+            size = len(self.sequences[n])
+            enough = [c for c in done.get(n, []) + live.get(n, []) if (c[4] >= self.cover or 2 * c[4] >= size) and c[5] >= min(self.least, size)]
+            best: list[list[int]] = []
+            for c in sorted(enough):
+                if not best or c[0] >= best[-1][1]:
+                    best.append(c)
+                elif c[4] > best[-1][4]:
+                    best[-1] = c
+            spans += [{"label": self.labels[n], "start": c[0], "stop": c[1], "template_start": c[2], "template_stop": c[3], "matched": c[4]} for c in best]
+        return spans
 
     def scan(self, texts: list[str | None]) -> pa.RecordBatch:
         w = Words(texts)
@@ -157,23 +178,25 @@ class _Scanner:
             own = sorted(places.get(d, []), key=lambda x: x["start"])
             spans = self.chains(found[d]) if d in found else []
             base = sorted({x["label"] for x in own})
-            covered: set[int] = set()
-            for lo, hi in [(x["start"], x["start"] + x["_k"]) for x in own] + [(x["start"], x["stop"]) for x in spans]:
-                covered.update(range(lo, hi))
-            rows.append({"n_words": n, "places": [{"start": x["start"], "label": x["label"]} for x in own], "spans": spans, "base_labels": base, "labels": sorted({*base, *(x["label"] for x in spans)}), "score": len(covered) / n if n else 0.0})
+            covered = reach = 0
+            for lo, hi in sorted([(x["start"], x["start"] + x["_k"]) for x in own] + [(x["start"], x["stop"]) for x in spans]):
+                covered += max(0, hi - max(lo, reach))
+                reach = max(reach, hi)
+            rows.append({"n_words": n, "places": [{"start": x["start"], "label": x["label"]} for x in own], "spans": spans, "base_labels": base, "labels": sorted({*base, *(x["label"] for x in spans)}), "score": covered / n if n else 0.0})
         return pa.RecordBatch.from_pylist(rows, schema=_RESULT)
 
 
 _scanners: dict[str, _Scanner] = {}
 
 
-def scan_licenses(docs: DataFrame, *, text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, least: int = 5, gap: int = 8, cover: int = 7) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, least: int = 5, gap: int = 8, cover: int = 16) -> DataFrame:
     """docs with n_words, places (of phrases), spans (of templates; words, end exclusive), base_labels, labels and score.
 
     score is the share of the words that lie in a place or a span.
     """
-    own = [c for c in docs.columns if c not in _RESULT.names]
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *own)
+    own = Carried(docs, _RESULT.names)
+    names = own.names
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), *own.into)
     options = (phrases, templates, least, gap, cover)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +205,6 @@ def scan_licenses(docs: DataFrame, *, text_col: str = "text", phrases: dict[str,
         scanner = _scanners[repr(options)]
         for b in slices(batches, 0):
             found = scanner.scan(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *found.columns], names=[*own, *_RESULT.names])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *found.columns], names=[*names, *_RESULT.names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema.fields), _DDL])
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, StructType([*own.schema.fields, *StructType.fromDDL(_DDL).fields])).select(*own.back, *_RESULT.names)
