@@ -5,8 +5,10 @@ its own. Every such string has an anchor, the leftmost of its GRAM-byte grams wi
 with the same anchor form a context. Equal strings have equal anchors at equal places, so contexts meet by anchor:
 
 1. Grams that are frequent in the corpus are found and avoided as anchors; copies of a context in one batch are merged.
-   Each context's anchor, place and hash are then shuffled by anchor. A context seen earlier under its anchor is covered
-   whole. If an anchor has other contexts too, each distinct one goes on to step 2; single anchors end here.
+   Each context's anchor, place and hash are then shuffled by anchor. A context seen earlier under its anchor (equal in
+   48 bits of the anchor's hash and 64 of its own) is covered whole. If an anchor has other contexts too, each distinct
+   one goes on to step 2; single anchors end here. Where all grams of a string are frequent, so is its anchor: its
+   contexts are shuffled by themselves, and each distinct one goes on.
 2. Distinct contexts are dealt to shards by anchor. A shard sorts the strings that start in its contexts into a suffix
    array by Larsson-Sadakane refinement (only groups that are still tied are sorted again, at twice the depth), gets the
    common prefixes of neighbours by Kasai's walk (all contexts step in parallel), and marks what has an earlier equal.
@@ -27,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import HashSet, materialize, mix, slices
+from .common import Carried, HashSet, materialize, mix, slices
 
 GRAM = 24
 #: Grams at more than one in so many places are frequent.
@@ -76,7 +79,7 @@ def frequent_grams(docs: DataFrame) -> np.ndarray:
             total, often = int(n.sum()), n >= max(4, int(n.sum()) // SHARE)
             yield pa.RecordBatch.from_arrays([pa.array([None, *gram[often].view(np.int64).tolist()], pa.int64()), pa.array([total, *n[often].tolist()], pa.int64())], names=["gram", "n"])
 
-    counts = materialize(docs.select("_bytes").mapInArrow(look, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    counts = materialize(docs.select("bytes").mapInArrow(look, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     total = counts.where("gram is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = counts.where(F.col("gram").isNotNull() & (F.col("n") * SHARE > total) & (F.col("n") >= FREQUENT)).select("gram").collect()  # SHARE rows at most
     return np.sort(np.array([r.gram for r in often], np.int64).view(np.uint64))
@@ -91,7 +94,7 @@ def _contexts(data: np.ndarray, doc_ends: np.ndarray, least: int, frequent: Hash
     np.add.at(bad, np.maximum(doc_ends - least + 1, bounds[:-1]), 1)
     np.add.at(bad, doc_ends, -1)
     bad = np.cumsum(bad)[:-1] > 0
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _up(len(data)), dtype=np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[data] * _up(len(data)), dtype=np.uint64)])
     for lo in range(0, len(data) - least + 1, STEP):
         hi = min(lo + STEP, len(data) - least + 1)  # starts of strings: lo to hi - 1
         eight = _packed(data[lo : hi + least - 1])
@@ -124,6 +127,8 @@ def _contexts(data: np.ndarray, doc_ends: np.ndarray, least: int, frequent: Hash
 
 _tables: dict[str, np.ndarray] = {}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A number for each byte, so that the sums of powers below don't follow from the bytes' own order.
+_OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
@@ -331,51 +336,54 @@ def _bytes_at(text: Column, place: Column, n: Column) -> Column:
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 100) -> DataFrame:
     """One row per row of docs: its other columns, n_bytes, removed (spans of bytes, end exclusive) and kept (bytes)."""
-    results = ("n_bytes", "removed", "kept")
-    own = [c for c in docs.columns if c not in (text_col, *results)]
+    own = Carried(docs, (text_col, "n_bytes", "removed", "kept"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("_id"), text.alias("_bytes"), F.struct(*own).alias("_row"))
-    shared = not rows.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    by = ["_id", "_fp"] if shared else ["_id"]
-    rows = rows.withColumn("_fp", F.xxhash64("_bytes")) if shared else rows
-    once = rows.select(*by, "_bytes").dropDuplicates(by) if shared else rows.select(*by, "_bytes")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), text.alias("bytes"), *own.into)
+    shared = not rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    by = ["id", "fp"] if shared else ["id"]
+    rows = rows.withColumn("fp", F.xxhash64("bytes")) if shared else rows
+    once = rows.select(*by, "bytes").dropDuplicates(by) if shared else rows.select(*by, "bytes")
     dealt_texts = once.repartition(*by)  # one exchange of the texts, read twice
 
-    under, context = Window.partitionBy("anchor"), Window.partitionBy("anchor", "own")
+    often = frequent_grams(once)
+    # anchors of strings that have frequent grams only carry a mark (see _contexts)
+    marked = F.shiftright("anchor", 47) == 1 if len(often) else F.lit(False)
+    under, context = Window.partitionBy("deal"), Window.partitionBy("deal", "anchor", "own")
     seen = (
-        anchors(once, by, least, frequent_grams(once))
-        .repartition("anchor")  # both windows below then share one exchange
-        .withColumn("first", ~F.col("known") & (F.row_number().over(context.orderBy("known", "_id", *by[1:], "place")) == 1))
-        .withColumn("others", F.sum(F.col("first").cast("int")).over(under))
+        anchors(once, by, least, often)
+        .withColumn("deal", F.when(marked, F.xxhash64("anchor", "own")).otherwise(F.col("anchor")))
+        .repartition("deal")  # both windows below then share one exchange
+        .withColumn("first", ~F.col("known") & (F.row_number().over(context.orderBy("known", "id", *by[1:], "place")) == 1))
+        .withColumn("others", F.when(marked, F.lit(HOT + 1).cast("long")).otherwise(F.sum(F.col("first").cast("int")).over(under)))
         .where("not first or others > 1")
     )
     # one list for both uses, so that both read one exchange
-    found = seen.groupBy(*by).agg(F.collect_list(F.struct("first", "place", F.when(F.col("first"), F.col("anchor")).alias("anchor"), "others")).alias("_all"))
-    covered = F.transform(F.filter("_all", lambda x: ~x["first"]), lambda x: x["place"])
-    each = dealt_texts.join(found, by).select(*by, "_bytes", F.explode(F.filter("_all", lambda x: x["first"])).alias("x"))
-    each = each.select(*by, "_bytes", "x.anchor", "x.others", F.shiftright("x.place", 8).alias("start"), F.col("x.place").bitwiseAND(F.lit(255)).alias("n"))
+    found = seen.groupBy(*by).agg(F.collect_list(F.struct("first", "place", F.when(F.col("first"), F.col("anchor")).alias("anchor"), "others")).alias("every"))
+    covered = F.transform(F.filter("every", lambda x: ~x["first"]), lambda x: x["place"])
+    each = dealt_texts.join(found, by).select(*by, "bytes", F.explode(F.filter("every", lambda x: x["first"])).alias("x"))
+    each = each.select(*by, "bytes", "x.anchor", "x.others", F.shiftright("x.place", 8).alias("start"), F.col("x.place").bitwiseAND(F.lit(255)).alias("n"))
     # contexts of an anchor with too many of them go string by string, dealt by what the string is
     hot = F.col("others") > HOT
     parts = F.when(hot, F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.struct((F.col("start") + i).alias("place"), F.lit(least).cast("long").alias("size")))).otherwise(F.array(F.struct(F.col("start").alias("place"), (F.col("n") + least - 1).alias("size"))))
-    each = each.select(*by, "_bytes", "anchor", "others", F.explode(parts).alias("y"))
-    cut = each.select("anchor", "others", *by, F.col("y.place").cast("long").alias("place"), _bytes_at(F.col("_bytes"), F.col("y.place").cast("int"), F.col("y.size").cast("int")).alias("bytes"))
-    key = F.when(F.col("others") > HOT, F.xxhash64("anchor", F.pmod(F.xxhash64("bytes"), F.ceil(F.col("others") / HOT)))).otherwise(F.col("anchor"))
-    dealt = cut.select(key.alias("key"), *by, "place", "bytes").repartition("key").sortWithinPartitions("key", "_id", "place")
-    spans = match_contexts(dealt, by, least).groupBy(*by).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    texts = dealt_texts.join(found, by, "left").select(*by, "_bytes", covered.alias("_covered")).join(spans, by, "left")
-    return _cut_out(texts.join(rows.select(*by, "_row"), by), docs, own, least)
+    each = each.select(*by, "bytes", "anchor", "others", F.explode(parts).alias("y"))
+    cut = each.select("anchor", "others", *by, F.col("y.place").cast("long").alias("place"), _bytes_at(F.col("bytes"), F.col("y.place").cast("int"), F.col("y.size").cast("int")).alias("bytes"))
+    key = F.when(F.col("others") > HOT, F.xxhash64("bytes")).otherwise(F.col("anchor"))
+    dealt = cut.select(key.alias("key"), *by, "place", "bytes").repartition("key").sortWithinPartitions("key", "id", "place")
+    spans = match_contexts(dealt, by, least).groupBy(*by).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    texts = dealt_texts.join(found, by, "left").select(*by, "bytes", covered.alias("covered")).join(spans, by, "left")
+    return _cut_out(texts.join(rows.select(*by, *own.names), by), own, least)
 
 
-def _cut_out(rows: DataFrame, docs: DataFrame, own: list[str], least: int) -> DataFrame:
+def _cut_out(rows: DataFrame, own: Carried, least: int) -> DataFrame:
     """The documents without the bytes that their covered contexts and spans hold."""
-    schema = docs.select(*own).schema
-    flat = rows.select("_row.*", "_bytes", "_covered", "_spans")
+    names = own.names
+    flat = rows.select(*names, "bytes", "covered", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, len(own)):
+        for b in slices(batches, len(names)):
             total, removed, kept = [], [], []
-            for text, covered, spans in zip(*(b.column(len(own) + i).to_pylist() for i in range(3))):
+            for text, covered, spans in zip(*(b.column(len(names) + i).to_pylist() for i in range(3))):
                 runs: list[list[int]] = []
                 every = [(p >> 8, (p >> 8) + (p & 255) + least - 1) for p in covered or []] + [(s["lo"], s["hi"]) for s in spans or []]
                 for lo, hi in sorted(every):
@@ -388,7 +396,8 @@ def _cut_out(rows: DataFrame, docs: DataFrame, own: list[str], least: int) -> Da
                 removed.append([{"lo": lo, "hi": hi} for lo, hi in runs])
                 kept.append(b"".join(text[lo:hi] for lo, hi in zip(ends[::2], ends[1::2])))
             spans_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array(total, pa.int64()), pa.array(removed, spans_type), pa.array(kept, pa.binary())], names=[*own, "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(total, pa.int64()), pa.array(removed, spans_type), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "removed", "kept"])
 
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "n_bytes long, removed array<struct<lo:long,hi:long>>, kept binary"])
-    return flat.mapInArrow(cut, ddl)
+    spans = ArrayType(StructType([StructField("lo", LongType()), StructField("hi", LongType())]))
+    schema = own.schema.add("n_bytes", LongType()).add("removed", spans).add("kept", BinaryType())
+    return flat.mapInArrow(cut, schema).select(*own.back, "n_bytes", "removed", "kept")

@@ -23,7 +23,7 @@ def test_matches_brute_force(spark, hot, shard, frequent):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     before = repeats.HOT, repeats.SHARD_BYTES, repeats.FREQUENT
     repeats.HOT, repeats.SHARD_BYTES, repeats.FREQUENT = hot, shard, frequent
-    texts_only = df.selectExpr("CAST(coalesce(text, '') AS binary) AS _bytes")
+    texts_only = df.selectExpr("CAST(coalesce(text, '') AS binary) AS bytes")
     assert len(repeats.frequent_grams(texts_only)) > 0 or frequent > 3
     try:
         got = result(repeats.remove_repeats(df))
