@@ -7,20 +7,22 @@ place fixes where its window would start (positional bound) and that it must end
 what is left is compared word for word.
 
 Nulls and texts without words have no words and no windows. Repeated document rows are judged row by row; repeated
-items count once by item id. Empty tables give no rows (no documents) or no hits (no items).
+items count once by item id. Empty tables give no rows (no documents) or no hits (no items); columns of docs named as the
+results are replaced.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashSet, Words, materialize, slices
+from .common import Carried, HashSet, Words, materialize, slices
 
 #: Windows (with the ids of their items) that are broadcast at once, about 200 bytes each; more are taken in several slices.
 SLICE_WINDOWS = 200_000
@@ -95,14 +97,14 @@ def _document_frequency(docs: DataFrame, windows: _Windows) -> dict[tuple[int, i
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), s, np.int32)), pa.array(sets[s].values[some].view(np.int64)), pa.array(n[some])], names=["s", "h", "n"])
 
-    found = docs.select("_text").mapInArrow(count, "s int, h long, n long").groupBy("s", "h").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(count, "s int, h long, n long").groupBy("s", "h").agg(F.sum("n").alias("n"))
     return {(r.s, r.h & (1 << 64) - 1): r.n for r in found.collect()}  # at most the shingles of one slice
 
 
 def _mark(docs: DataFrame, windows: _Windows, count: dict[tuple[int, int], int]) -> DataFrame:
     """docs with the words hit and the items found so far grown by this slice of the windows."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((windows.prefixes(count), windows.words, windows.k, windows.items)))
-    n, h, f = (docs.columns.index(c) for c in ("_n_words", "_hits", "_found"))
+    n, h, f = (docs.columns.index(c) for c in ("n_words", "hits", "found"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes, words, size, items = pickle.loads(shared.value)
@@ -148,19 +150,23 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     """
     windows = materialize(item_windows(items, item_col, item_text_col, window, shingle), "windows")
     parts = -(-windows.count() // SLICE_WINDOWS)
-    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "hits", "items", "contaminated")]
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<struct<lo:int,hi:int>>").alias("_hits"), F.array().cast("array<string>").alias("_found"), *own)
+    results = ("n_words", "n_hit", "hits", "items", "contaminated")
+    own = Carried(docs, results)
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<lo:int,hi:int>>").alias("hits"), F.array().cast("array<string>").alias("found"), *own.into)
     for part in range(max(1, parts)):
         some = windows.where(F.pmod(F.xxhash64("words"), F.lit(max(1, parts))) == part).collect()
         known = _Windows(some, shingle)
         rows = _mark(rows, known, _document_frequency(rows, known) if some else {})
         if parts > 1:
             rows = materialize(rows, "marked")
-    hits = F.aggregate("_hits", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
-    return rows.select(*own, F.col("_n_words").alias("n_words"), hits.alias("n_hit"), F.col("_hits").alias("hits"), F.col("_found").alias("items"), ((hits > 0) & (hits >= F.ceil(F.lit(least_share) * F.col("_n_words") - 1e-9))).alias("contaminated"))
+    share = Fraction(str(least_share))
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["hi"] - x["lo"])
+    found = rows.select(*own.names, "n_words", hit.alias("n_hit"), "hits", F.col("found").alias("items"))
+    found = found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share.denominator) * F.col("n_hit") >= F.lit(share.numerator) * F.col("n_words")))
+    return found.select(*own.back, *results)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns, whatever these are called."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
-    return decontaminate(rows, items, **options).where("not contaminated").select("_row.*")
+    own = Carried(docs)
+    return decontaminate(docs.select(*own.into), items, text_col=own.of[text_col], **options).where("not contaminated").select(*own.back)

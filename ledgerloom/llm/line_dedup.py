@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Carried, materialize
 
 BROADCAST_LINES = 100_000
+#: Lists into which a site's lines are dealt by their hash, so that a line is looked for in a short one.
+LISTS = 256
 
 
 def line_key(line: Column) -> Column:
@@ -44,19 +46,22 @@ def boilerplate(docs: DataFrame, site: Column, text_col: str, ratio: float, leas
 def dedup_lines(docs: DataFrame, site: Column, *, text_col: str = "text", ratio: float = 0.08, least_pages: int = 20) -> DataFrame:
     """docs with text_col freed of its site's boilerplate, and n_lines and n_dropped added."""
     found = materialize(boilerplate(docs, site, text_col, ratio, least_pages), "boilerplate")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*own, site.cast("string").alias("_site"), F.split(F.col(text_col).cast("string"), "\n").alias("_lines"))
+    own = Carried(docs, ["n_lines", "n_dropped"])
+    rows = docs.select(*own.into, site.cast("string").alias("site"), F.split(F.col(text_col).cast("string"), "\n").alias("lines"))
     if found.count() <= BROADCAST_LINES:
-        by_site = found.groupBy("site").agg(F.collect_set("line").alias("_bad")).withColumnRenamed("site", "_of")
-        marked = rows.join(F.broadcast(by_site), rows["_site"].eqNullSafe(by_site["_of"]), "left").withColumn("_bad", F.coalesce("_bad", F.array().cast("array<struct<a:bigint,b:int>>")))
-        kept = F.when(F.size("_bad") == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.coalesce(F.array_contains("_bad", _code(line_key(x))) & line_key(x).isNotNull(), F.lit(False))))
-        marked = marked.withColumn("_kept", kept)
+        dealt = F.transform(F.sequence(F.lit(0), F.lit(LISTS - 1)), lambda n: F.filter("bad", lambda x: F.pmod(x["a"], F.lit(LISTS)) == n))
+        by_site = found.groupBy("site").agg(F.collect_set("line").alias("bad")).select(F.col("site").alias("of"), dealt.alias("bad"))
+        marked = rows.join(F.broadcast(by_site), rows["site"].eqNullSafe(by_site["of"]), "left")
+        listed = lambda code: F.array_contains(F.get(F.col("bad"), F.pmod(code["a"], F.lit(LISTS)).cast("int")), code)
+        stays = lambda x: line_key(x).isNull() | ~listed(_code(line_key(x)))
+        marked = marked.withColumn("kept", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
     else:
-        numbered = materialize(rows.withColumn("_row", F.expr("uuid()")), "numbered")
-        each = numbered.select("_row", "_site", F.posexplode("_lines").alias("_n", "_line")).withColumn("_code", _code(line_key(F.col("_line"))))
-        stay = each.join(found, each["_site"].eqNullSafe(found["site"]) & (each["_code"] == found["line"]), "left_anti")
-        back = stay.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]).alias("_kept"))
-        marked = numbered.join(back, "_row", "left").withColumn("_kept", F.when(F.col("_lines").isNotNull(), F.coalesce("_kept", F.array().cast("array<string>"))))
-    text = F.array_join("_kept", "\n").alias(text_col)
-    n = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    return marked.select(*[text if c == text_col else F.col(c) for c in own], F.greatest(n, F.lit(0)).alias("n_lines"), F.greatest(n - F.greatest(F.coalesce(F.size("_kept"), F.lit(0)), F.lit(0)), F.lit(0)).alias("n_dropped"))
+        numbered = materialize(rows.withColumn("row", F.expr("uuid()")), "numbered")
+        each = numbered.select("row", "site", F.posexplode("lines").alias("n", "line")).withColumn("code", _code(line_key(F.col("line"))))
+        stay = each.join(found, each["site"].eqNullSafe(found["site"]) & (each["code"] == found["line"]), "left_anti")
+        back = stay.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("kept"))
+        marked = numbered.join(back, "row", "left").withColumn("kept", F.when(F.col("lines").isNotNull(), F.coalesce("kept", F.array().cast("array<string>"))))
+    text = F.array_join("kept", "\n")
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    back = [text.alias(text_col) if n == own.of[text_col] else c for n, c in zip(own.names, own.back)]
+    return marked.select(*back, size("lines").alias("n_lines"), (size("lines") - size("kept")).alias("n_dropped"))

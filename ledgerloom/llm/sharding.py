@@ -17,6 +17,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Carried
+
 MOST_SLOTS = 1_000_003
 
 
@@ -31,7 +33,9 @@ def key_hash(key: Column) -> Column:
 
 def slot_owners(shards: list[str], slots: int) -> list[int]:
     """For each slot, the number of the shard that claims it."""
-    if not shards or not len(shards) <= slots <= MOST_SLOTS or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
+    if len(set(shards)) < len(shards):
+        raise ValueError("two shards have one name")
+    if not shards or not max(2, len(shards)) <= slots <= MOST_SLOTS or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
         raise ValueError(f"the table needs a prime number of slots, at least one a shard and {MOST_SLOTS} at most")
     place = [name_hash(f"offset:{s}") % slots for s in shards]
     skip = [name_hash(f"skip:{s}") % (slots - 1) + 1 for s in shards]
@@ -55,5 +59,6 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int) -> DataFram
 
 def assign_shards(df: DataFrame, key_col: str, shards: list[str], slots: int = 65_537) -> DataFrame:
     """df with `slot` and `shard` of key_col."""
-    rows = df.drop("slot", "shard").withColumn("slot", F.pmod(key_hash(df[key_col]), F.lit(slots)).cast("int"))
-    return rows.join(F.broadcast(lookup_table(df.sparkSession, shards, slots)), "slot", "left").select(*[c for c in rows.columns if c != "slot"], "slot", "shard")
+    own = Carried(df, ["slot", "shard"])
+    rows = df.select(*own.into, F.pmod(key_hash(df[key_col]), F.lit(slots)).cast("int").alias("slot"))
+    return rows.join(F.broadcast(lookup_table(df.sparkSession, shards, slots)), "slot", "left").select(*own.back, "slot", "shard")

@@ -91,7 +91,7 @@ def test_jensen_shannon_is_a_distance(spark):
 
 @pytest.mark.parametrize("bound", [100_000, 0])
 def test_line_dedup_matches_brute_force(spark, bound):
-    rows = [(i, "host" if i % 2 else None, "\n".join([f"own {i}", " Menu | Home ", "Menu | Home", "", "twice"] if i % 3 else [f"own {i}", f"pair {i // 2}"])) for i in range(40)] + [(99, "host", None), (98, "small", "Menu | Home")]
+    rows = [(i, "host" if i % 2 else None, "\n".join([f"own {i}", " Menu | Home ", "Menu | Home", "", "twice"] if i % 3 else [f"own {i}", f"pair {i // 2}"])) for i in range(40)] + [(99, "host", None), (98, "small", "Menu | Home"), (97, "host", "one\ntwo"), (97, "host", "one\ntwo")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     line_dedup.BROADCAST_LINES, before = bound, line_dedup.BROADCAST_LINES
     try:
@@ -211,6 +211,25 @@ def test_licences(spark):
     assert found[2].spans[0].matched >= 58 and 0 < found[1].score < 1
 
 
+def test_prose_with_words_of_licences_has_no_label(spark):
+    prose = [
+        "forecasts are provided as is, without warranty of any kind, express or implied, by the weather office",
+        "the clerk will hand out, free of charge, to any person obtaining a copy of the minutes, a list of names",
+        "she wrote it in the hope that it will be useful but nobody read it",
+        "the above copyright notice and this permission notice hung on the wall",
+        "you may obtain a copy of the license at the town hall and on an as is basis",
+        "to use copy modify and or distribute this " * 50,
+    ]
+    whole = [(100 + n, f"words before it. {t} words after it", label) for n, (label, t) in enumerate(licenses.TEMPLATES.items())]
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([*enumerate(prose), *[x[:2] for x in whole]], "doc_id long, text string")).collect()}
+    assert [found[i].labels for i in range(len(prose))] == [[]] * len(prose)
+    for i, _, label in whole:
+        assert found[i].labels == [label] and found[i].score > 0.8, (label, found[i].labels)
+    gpl = licenses._Scanner(licenses.PHRASES, licenses.TEMPLATES, 5, 8, 16)
+    again = gpl.scan(["the GNU General Public License as published " * 20_000]).to_pylist()[0]
+    assert again["labels"] == ["gpl"] and len(again["places"]) == 20_000
+
+
 def test_matching_statistics_against_brute_force():
     import random
 
@@ -225,8 +244,8 @@ def test_matching_statistics_against_brute_force():
         found = a.matches(words, 2)
         assert [x[:2] for x in found] == expected
         for lo, hi, s in found:
-            for n, end in a.ends[s].items():
-                assert seqs[n][end - (hi - lo) : end] == words[lo:hi]
+            for n, ends in a.ends[s].items():
+                assert ends == [i for i in range(hi - lo, len(seqs[n]) + 1) if seqs[n][i - (hi - lo) : i] == words[lo:hi]]
             assert set(a.ends[s]) == {n for n, q in enumerate(seqs) if any(q[i : i + hi - lo] == words[lo:hi] for i in range(len(q)))}
 
 
@@ -242,5 +261,7 @@ def test_shards_are_even_and_stable(spark):
     got = {r.k: (r.slot, r.shard) for r in sharding.assign_shards(docs, "k", names, 211).collect()}
     for k, (slot, shard) in got.items():
         assert (slot, shard) == (None, None) if k is None else slot == int(hashlib.md5(k.encode()).hexdigest()[:15], 16) % 211 and shard == names[owner[slot]]
-    with pytest.raises(ValueError):
-        sharding.slot_owners(names, 210)
+    for bad in ((names, 210), (["a"], 1), (["a", "a"], 211), ([], 211)):
+        with pytest.raises(ValueError):
+            sharding.slot_owners(*bad)
+    assert sharding.slot_owners(["a"], 2) == [0, 0]
