@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, decontaminate, line_dedup, quality, queries, simhash
-from ledgerloom.llm.common import materialize
+from ledgerloom.llm.common import Carried, materialize
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their source's boilerplate; n_chars follows the text."""
-    freed = line_dedup.dedup_lines(docs, docs["source"]).select(docs.columns)
-    return freed.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else freed
+    own = Carried(docs)
+    rows = docs.select(*own.into)
+    freed = line_dedup.dedup_lines(rows, rows[own.of["source"]], text_col=own.of["text"])
+    if "n_chars" in own.of:
+        freed = freed.withColumn(own.of["n_chars"], F.char_length(own.of["text"]).cast("long"))
+    return freed.select(*own.back)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
