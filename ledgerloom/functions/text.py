@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unknown import clean_value
+from .unknown import clean_value, looks_unknown
 
 #: Folded letters, legal forms, street words and words without identity.
 FOLD = ("àáâãäåāăąçćčďđèéêëēęěìíîïīłñńňòóôõöøōŕřśšşťţùúûüūůűýÿźžż", "aaaaaaaaacccddeeeeeeeiiiiilnnnooooooorrsssttuuuuuuuyyzzz")
@@ -113,10 +113,10 @@ def stated_year(c: Column) -> Column:
 
 
 def prose(c: Column) -> Column:
-    """Whether a value is worth translating: longer than three words, or no code, number, date or address of the web."""
+    """Whether a value is worth translating: known, no locator, and longer than three words or no code, number, date or address of the web."""
     short = F.size(F.split(F.trim(c), r"\s+")) <= 3
     fixed = c.rlike(r"(?i)^\s*(?:https?://\S+|[0-9][0-9.,:/ -]*\S{0,6}|[A-Z0-9-]{1,6}|[£€$].*)\s*$")
-    return ~F.coalesce(fixed & short, F.lit(True))
+    return ~F.coalesce(fixed & short, F.lit(True)) & ~looks_like_locator(c) & ~looks_unknown(c)
 
 
 def saturation_claim(c: Column, claim: str, negation: str) -> Column:

@@ -56,9 +56,10 @@ def align_areas(df: DataFrame, value: str, unit: str, dominant: Column) -> DataF
 
 
 def total_rent(area: Column, rate: Column, office_area: Column, office_rate: Column) -> Column:
-    """Areas by their own rates; the office by the main rate where it has none."""
-    office = F.coalesce(office_area, F.lit(0.0))
-    return F.round(area * rate + office * F.coalesce(office_rate, rate), 2)
+    """Areas by their own rates; the office by the main rate where it has none. Money is counted in decimals, halves up."""
+    exact = lambda c: c.cast("decimal(18,4)")
+    office = F.coalesce(exact(office_area), F.lit(0))
+    return F.round(exact(area) * exact(rate) + office * F.coalesce(exact(office_rate), exact(rate)), 2).cast("double")
 
 
 def ingest_routes(responses: DataFrame, request: str, body: str, offset: int) -> DataFrame:

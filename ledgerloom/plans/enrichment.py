@@ -25,7 +25,7 @@ _GAZ = "g AS (SELECT n_name AS name, 'XA' AS cc, 45 + n_nationkey / 10.0::DOUBLE
 @query(f"""WITH {_GAZ}, p AS (SELECT c_custkey AS seq, n_name AS city, CASE WHEN c_custkey % 4 = 0 THEN 'XB' END AS country FROM customer JOIN nation ON c_nationkey = n_nationkey),
 s AS (SELECT *, count(*) OVER (PARTITION BY name) AS same FROM g)
 SELECT p.seq, coalesce(x.lat, CASE WHEN p.country IS NULL THEN y.lat END) AS lat, coalesce(x.lng, CASE WHEN p.country IS NULL THEN y.lng END) AS lng, CASE WHEN x.lat IS NOT NULL THEN 'exact' WHEN p.country IS NULL THEN 'dominant' ELSE 'none' END AS how
-FROM p LEFT JOIN s x ON x.name = p.city AND (x.cc = p.country OR (p.country IS NULL AND x.same = 1)) JOIN s y ON y.name = p.city AND y.cc = 'XA'""")
+FROM p LEFT JOIN s x ON x.name = p.city AND (x.cc = p.country OR (p.country IS NULL AND x.same = 1)) JOIN s y ON y.name = p.city AND y.cc = (SELECT cc FROM p JOIN s ON name = city AND same = 1 WHERE country IS NULL OR country = cc GROUP BY cc ORDER BY count(*) DESC, cc LIMIT 1)""")
 def two_pass_places(t: Tables) -> DataFrame:
     """Most places lie in XA, so names of both countries go there unless the record says otherwise."""
     n = t.nation
@@ -50,7 +50,8 @@ def unit_alignment(t: Tables) -> DataFrame:
     return enrich.align_areas(rows, "l_quantity", "unit", F.lit("sq ft")).select("l_orderkey", "l_linenumber", "l_partkey", "aligned", "state")
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(l_quantity * l_discount + coalesce(CASE WHEN l_returnflag = 'A' THEN l_tax END, 0) * coalesce(CASE WHEN l_linestatus = 'O' THEN 2.0::DOUBLE END, l_discount), 2) AS total FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, round(q * d + coalesce(CASE WHEN l_returnflag = 'A' THEN t END, 0) * coalesce(CASE WHEN l_linestatus = 'O' THEN 2.0::DECIMAL(9, 4) END, d), 2)::DOUBLE AS total
+FROM (SELECT *, l_quantity::DECIMAL(9, 4) AS q, l_discount::DECIMAL(9, 4) AS d, l_tax::DECIMAL(9, 4) AS t FROM lineitem)""")
 def total_rent(t: Tables) -> DataFrame:
     x = enrich.total_rent(F.col("l_quantity"), F.col("l_discount"), F.when(F.col("l_returnflag") == "A", F.col("l_tax")), F.when(F.col("l_linestatus") == "O", 2.0))
     return t.lineitem.select("l_orderkey", "l_linenumber", x.alias("total"))
@@ -85,12 +86,12 @@ def best_by_signature(t: Tables) -> DataFrame:
     return enrich.best_by_signature(rows, "sig", "page", "score")
 
 
-@query("""SELECT c_custkey, 'body of ' || c_name AS why, c_nationkey::VARCHAR AS owner, [2::BIGINT, 4] = [2, 4] AS dashes FROM customer""")
+@query("""SELECT c_custkey, 'body of ' || c_name AS why, c_nationkey::VARCHAR AS owner, (SELECT string_agg(n::VARCHAR, ',' ORDER BY n) FROM (SELECT unnest(string_split('a' || chr(10) || 'b — ' || c_name || chr(10) || 'd-e' || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN 'f – g' ELSE 'f g' END, chr(10))) AS l, generate_subscripts(string_split('a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd', chr(10)), 1) AS n) WHERE contains(l, '—') OR contains(l, '–')) AS dashes FROM customer""")
 def document_sections(t: Tables) -> DataFrame:
     doc = F.concat(F.lit("# Sheet\n## Why\nbody of "), "c_name", F.lit("\n## Facts\n- Owner: "), F.col("c_nationkey").cast("string"), F.lit(" \n## Why\nsecond"))
     s = text.sections(doc)
-    dashes = text.dash_lines(F.lit("a\nb — c\nd-e\nf – g"))
-    return t.customer.select("c_custkey", s["Why"].alias("why"), text.field_value(s["Facts"], "owner").alias("owner"), (dashes == F.array(F.lit(2), F.lit(4))).alias("dashes"))
+    dashes = text.dash_lines(F.concat(F.lit("a\nb — "), "c_name", F.lit("\nd-e\n"), F.when(F.col("c_custkey") % 2 == 0, "f – g").otherwise("f g")))
+    return t.customer.select("c_custkey", s["Why"].alias("why"), text.field_value(s["Facts"], "owner").alias("owner"), F.array_join(dashes.cast("array<string>"), ",").alias("dashes"))
 
 
 @query("""SELECT o_orderkey, 'M' || (1 + o_orderkey % 60) || ' J' || (1 + o_orderkey % 30) || CASE WHEN o_orderkey % 2 = 0 THEN ' 2 miles' ELSE '' END AS motorway FROM orders""")
@@ -100,8 +101,7 @@ def short_motorway(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", text.short_motorway(said).alias("motorway"))
 
 
-@query("""SELECT p_partkey, list_sort(list_distinct(list_filter([1000 + p_partkey, 2500000], lambda x: x >= 1000))) = list_sort(list_distinct([1000 + p_partkey, 2500000])) AS ok FROM part""")
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct([1000 + p_partkey, 2500000])), ',') AS figures FROM part""")
 def page_figures(t: Tables) -> DataFrame:
     said = F.concat(F.lit("hall of "), F.format_number(1000 + F.col("p_partkey"), 0), F.lit(" sq m, plot 2.500.000; 12 docks, 999"))
-    want = F.array_sort(F.array_distinct(F.array((1000 + F.col("p_partkey")).cast("long"), F.lit(2500000).cast("long"))))
-    return t.part.select("p_partkey", (text.figures(said) == want).alias("ok"))
+    return t.part.select("p_partkey", F.array_join(text.figures(said).cast("array<string>"), ",").alias("figures"))

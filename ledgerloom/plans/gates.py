@@ -68,9 +68,9 @@ def apply_answers(t: Tables) -> DataFrame:
     return gates.apply_answers(rows, answers, "l_suppkey", "value", "unit").select("l_orderkey", "l_linenumber", "l_partkey", "unit")
 
 
-@query("""WITH c AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n, min(o_orderpriority) AS family FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT family, count(*) AS clusters FROM c WHERE n = 1 GROUP BY 1""")
+@query("""WITH c AS (SELECT o_orderkey // 4 AS park, count(DISTINCT o_orderpriority) AS n, min(o_orderpriority) AS family FROM orders GROUP BY 1) SELECT family, count(*) AS clusters FROM c WHERE n = 1 GROUP BY 1""")
 def authority_extras(t: Tables) -> DataFrame:
-    return gates.only_family(t.orders.where("o_orderkey % 2 = 0").withColumnRenamed("o_orderpriority", "family"), "o_custkey", "family")
+    return gates.only_family(t.orders.select(F.floor(F.col("o_orderkey") / 4).alias("park"), F.col("o_orderpriority").alias("family")), "park", "family")
 
 
 @query("""SELECT run, array_to_string(list_sort(list(DISTINCT k)), ',') AS keys FROM (SELECT user_id % 9 AS run, event_type AS k FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id % 9, event_type FROM events WHERE event_id % 3 = 0) GROUP BY 1""")

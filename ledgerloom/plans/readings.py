@@ -72,10 +72,9 @@ def region_of_name(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", parsing.region_of_name(_pick([x for x, *_ in _STEMS], "n_nationkey")).alias("x")).select("n_nationkey", "x.*")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN (p_size / 2)::BIGINT::VARCHAR ELSE (p_size::BIGINT)::VARCHAR || '.5' END AS shown FROM part WHERE p_partkey % 2 = 1 OR p_size % 2 = 0")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN p_size::BIGINT::VARCHAR || '.5' ELSE (p_size // 2)::BIGINT::VARCHAR || CASE WHEN p_size % 2 = 1 THEN '.5' ELSE '' END END AS shown FROM part")
 def plain_numbers(t: Tables) -> DataFrame:
-    rows = t.part.where("p_partkey % 2 = 1 or p_size % 2 = 0")
-    return rows.select("p_partkey", parsing.plain_number(F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") / 2.0).otherwise(F.col("p_size") + 0.5)).alias("shown"))
+    return t.part.select("p_partkey", parsing.plain_number(F.when(F.col("p_partkey") % 2 == 0, F.col("p_size") / 2.0).otherwise(F.col("p_size") + 0.5)).alias("shown"))
 
 
 @query("SELECT page_id, CASE WHEN url LIKE '%.example.com/%' THEN regexp_replace(url, '\\?.*$', '') || '?w=800&q=60' ELSE url END AS url FROM pages")

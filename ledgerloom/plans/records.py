@@ -216,6 +216,22 @@ def _parts(t: Tables) -> DataFrame:
     )
 
 
+_GENERIC = "['" + "', '".join(resolve.GENERIC) + "']"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS a, p_partkey % 3 AS source, p_name AS park, lower(p_type) AS city, p_size AS area, list_sort(list_distinct(list_filter(string_split(p_name, ' '), lambda x: x <> '' AND NOT list_contains({_GENERIC}, x)))) AS tokens,
+  CASE WHEN p_partkey % 4 <> 0 THEN 40 + (p_partkey // 2 % 1009) / 100.0::DOUBLE + CASE WHEN p_partkey % 2 = 0 THEN 0 WHEN p_partkey // 2 % 2 = 0 THEN 0.001::DOUBLE ELSE 0.01::DOUBLE END END AS lat, CASE WHEN p_partkey % 4 <> 0 THEN 10 + (p_partkey // 2 * 7 % 640) / 100.0::DOUBLE END AS lng FROM part),
+j AS (SELECT l.a, r.a AS b, l.source = r.source AS alike, l.city = r.city AS cities, l.park = r.park AS parks, abs(l.area - r.area) / greatest(l.area, r.area)::DOUBLE AS gap, l.tokens AS lt, r.tokens AS rt, string_split(l.city || ' ' || r.city, ' ') AS places,
+  12742 * asin(least(1, sqrt(power(sin(radians(r.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * cos(radians(r.lat)) * power(sin(radians(r.lng - l.lng) / 2), 2)))) AS km FROM p l JOIN p r ON l.a < r.a WHERE l.city = r.city OR list_has_any(l.tokens, r.tokens) OR (abs(l.lat - r.lat) < 0.02 AND abs(l.lng - r.lng) < 0.03)),
+m AS (SELECT * FROM j WHERE cities OR list_has_any(lt, rt) OR km <= 2)
+SELECT a, b, CASE WHEN alike THEN CASE WHEN cities AND parks AND gap <= 0.01 THEN 'auto' ELSE 'forbidden' END WHEN coalesce(km <= 0.3, FALSE) AND gap <= 0.15 THEN 'auto'
+  WHEN len(lt) > 0 AND len(rt) > 0 AND (list_has_all(rt, lt) OR list_has_all(lt, rt)) AND cities AND gap <= 0.05 THEN 'auto' END AS easy,
+  gap > 0.15 AS veto, coalesce(km <= 2, FALSE) AS near, len(list_filter(list_intersect(lt, rt), lambda x: NOT list_contains(places, x))) > 0 AS token FROM m""")
+def pair_rules(t: Tables) -> DataFrame:
+    """What the rules without a ratio of texts say of the pairs of parts that meet by key, token, place or party."""
+    return resolve.judge_pairs(resolve.prepare(_parts(t))).select("a", "b", "easy", "veto", "near", "token")
+
+
 @query()
 def pair_classes(t: Tables) -> DataFrame:
     """Classes of the pairs of parts that meet by key, token, place or party; ratios of texts have no SQL form."""

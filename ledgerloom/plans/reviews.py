@@ -51,11 +51,11 @@ def region_boxes(t: Tables) -> DataFrame:
 _REGIONS = [("East_Midlands", "eastmidlands"), ("Łódź - Płn.", "łodzpłn"), ("São  Paulo", "saopaulo"), ("Straße 7", "strasse7")]
 
 
-@query(f"SELECT c_custkey, {_sql([x for _, x in _REGIONS])}[(1 + c_custkey % 4)::INT] AS loose, {_sql(['east midlands', ' od p n', 'sao paulo', 'stra e 7'])}[(1 + c_custkey % 4)::INT] AS said FROM customer WHERE c_custkey % 4 <> 1")
+@query(f"SELECT c_custkey, {_sql([x for _, x in _REGIONS])}[(1 + c_custkey % 4)::INT] AS loose, {_sql(['east midlands', 'odz p n', 'sao paulo', 'stra e 7'])}[(1 + c_custkey % 4)::INT] AS said FROM customer")
 def separator_free_keys(t: Tables) -> DataFrame:
     name = _pick([x for x, _ in _REGIONS], "c_custkey")
     key = facilities.region_label_key(name, F.lit("pl"), F.lit("x"))
-    return t.customer.where("c_custkey % 4 <> 1").select("c_custkey", facilities.loose_key(name).alias("loose"), F.split(key, r"\|")[0].alias("said"))
+    return t.customer.select("c_custkey", facilities.loose_key(name).alias("loose"), F.split(key, r"\|")[0].alias("said"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'sub/' || l_orderkey ELSE l_orderkey::VARCHAR END AS source, CASE WHEN l_linenumber = 2 OR l_returnflag = 'A' THEN 'Medium' ELSE 'High' END AS confidence FROM lineitem")
@@ -178,10 +178,12 @@ def repair_rows(t: Tables) -> DataFrame:
     return review.repair_rows(t.customer.select("c_custkey", changed.alias("set"), F.lit("round trip").alias("why")), "c_custkey", "set", "why")
 
 
-@query("SELECT n_name AS answer, 'missing' AS problem FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 0) UNION ALL SELECT DISTINCT c_mktsegment, 'unknown' FROM customer WHERE c_custkey % 50 = 0")
+@query("""WITH c AS (SELECT CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS said, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT n_name AS answer, 'missing' AS problem FROM nation WHERE n_name NOT IN (SELECT said FROM c) UNION ALL SELECT DISTINCT x, 'unknown' FROM (SELECT said AS x FROM c UNION ALL SELECT c_mktsegment FROM c) WHERE x NOT IN (SELECT n_name FROM nation)""")
 def answer_gaps(t: Tables) -> DataFrame:
     n = t.nation.select(F.col("n_name").alias("answer"))
-    cells = t.customer.where("c_custkey % 50 = 0").join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.array("n_name", "c_mktsegment").alias("answers"))
+    said = F.when(F.col("n_nationkey") % 3 == 0, F.lower("n_name")).otherwise(F.col("n_name"))
+    cells = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.array(said, "c_mktsegment").alias("answers"))
     return review.answer_gaps(cells, "answers", n)
 
 
