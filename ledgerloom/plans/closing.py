@@ -130,7 +130,7 @@ def enrichment_trace(t: Tables) -> DataFrame:
 
 
 _CASES = [  # value: prose, locator, range, measured
-    ("a bright hall by the river", True, False, False, "other"), ("page 4 (table)", True, True, False, "other"), ("slide 12", False, True, False, "other"), ("4.5 - 5.0", False, False, True, "other"),
+    ("a bright hall by the river", True, False, False, "other"), ("page 4 (table)", False, True, False, "other"), ("slide 12", False, True, False, "other"), ("4.5 - 5.0", False, False, True, "other"),
     ("12.500", False, False, False, "bare"), ("12 500 sq m", True, False, False, "measured"), ("https://example.com/a", False, False, False, "other"), ("3 to 5 weeks from the day of signing", True, False, True, "other"),
 ]
 
