@@ -64,17 +64,22 @@ def normalize_number(raw: Column) -> Column:
     t = F.regexp_replace(raw, r"[\s\u00a0\u2007\u2009\u202f']", "")
     n = F.regexp_extract(t, r"-?\d[\d.,]*", 0)
     n = F.regexp_replace(n, "[.,]+$", "")
-    points, commas = F.char_length(n) - F.char_length(F.replace(n, F.lit("."), F.lit(""))), F.char_length(n) - F.char_length(F.replace(n, F.lit(","), F.lit("")))
-    bare = lambda c: F.replace(c, F.lit("."), F.lit(""))
-    text = (
-        F.when((points > 0) & (commas > 0), F.replace(bare(n), F.lit(","), F.lit(".")))
-        .when((commas == 1) & n.rlike(r",\d{1,2}$"), F.replace(n, F.lit(","), F.lit(".")))
-        .when(commas > 0, F.replace(n, F.lit(","), F.lit("")))
-        .when(points > 1, bare(n))
-        .when((points == 1) & n.rlike(r"^-?\d{1,3}\.\d{3}$"), bare(n))
-        .otherwise(n)
-    )
-    return F.when(~is_range(raw) & (n != ""), text.try_cast("double"))
+
+    def read(n: Column) -> Column:
+        points, commas = (F.char_length(n) - F.char_length(F.replace(n, F.lit(c), F.lit(""))) for c in ".,")
+        bare = F.replace(n, F.lit("."), F.lit(""))
+        text = (
+            F.when((points > 0) & (commas > 0), F.replace(bare, F.lit(","), F.lit(".")))
+            .when((commas == 1) & n.rlike(r",\d{1,2}$"), F.replace(n, F.lit(","), F.lit(".")))
+            .when(commas > 0, F.replace(n, F.lit(","), F.lit("")))
+            .when(points > 1, bare)
+            .when((points == 1) & n.rlike(r"^-?\d{1,3}\.\d{3}$"), bare)
+            .otherwise(n)
+        )
+        return F.when(n != "", text.try_cast("double"))
+
+    # as a list of one, so that the number's text is found once and not again in each branch
+    return F.when(~is_range(raw), F.get(F.transform(F.array(n), read), 0))
 
 
 def parse_size(text: Column) -> Column:
