@@ -140,3 +140,58 @@ class Carried:
         self.back: list[Column] = [F.col(n).alias(f.name) for f, n in zip(fields, self.names)]
         self.of = dict(zip((f.name for f in fields), self.names))
         self.schema = StructType([StructField(n, f.dataType) for f, n in zip(fields, self.names)])
+
+
+def byte_classes(gaps: bytes, breaks: bytes = b"", lower: bool = True) -> bytes:
+    """A table for `Coded`: which bytes stand between words (as spaces) and which end a piece (as line feeds)."""
+    keep = _LOWER if lower else bytes(range(256))
+    return bytes(10 if c in breaks else 32 if c in gaps else keep[c] for c in range(256))
+
+
+class Coded:
+    """The words of some texts as numbers: word w is `code[w]`, and `names[c]` is code c's word, followed by one space.
+
+    `first[i]:first[i + 1]` are the words of text i and `piece[w]` tells the piece that word w stands in. A null text has
+    no words. Codes are exact (Arrow's dictionary) and hold for these texts only.
+    """
+
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, table: bytes):
+        column = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        encoded = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+        data = np.frombuffer((b"\n".join(encoded) + b"\n").translate(table), np.uint8).copy()
+        inside = (data != 32) & (data != 10)
+        size = np.array([len(t) for t in encoded], np.int64) + 1
+        stop = np.cumsum(size)
+        inside[stop - 1] = False  # where one text ends and the next one starts
+        edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.first = np.searchsorted(starts, np.concatenate([[0], stop]))
+        broken = data == 10
+        broken[stop - 1] = True
+        self.piece = np.cumsum(broken, dtype=np.int32)[starts]
+        inside[ends] = True
+        data[ends] = 32
+        self.data = data[inside]
+        self.at = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+        coded = binaries(self.data, self.at).dictionary_encode()
+        self.code, self.names = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+        self.n = len(starts)
+
+    def text_of(self) -> np.ndarray:
+        """The text that each word belongs to."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def words(self) -> pa.Array:
+        """The word of each code."""
+        return pc.binary_slice(self.names, 0, -1)
+
+
+def binaries(data: np.ndarray, at: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """An Arrow array whose value i is data[at[i]:at[i + 1]], without a copy of the bytes."""
+    return pa.Array.from_buffers(kind or pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows that stand for counts[i] rows each: the row of each, and its number within that row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)

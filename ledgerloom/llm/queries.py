@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, line_dedup, pages, personal, quality, repeats, sharding, simhash
+from . import bpe, decontaminate, licenses, line_dedup, pages, periodic, personal, phrases, quality, repeats, sharding, simhash
+from .common import held
 
 #: Shards and slots of the placement query.
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
@@ -87,6 +88,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS, SLOTS)
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """docs where one text in ten (by its id's CRC-32) goes on with a stretch of its own words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""))
+    rows = held(docs.select("doc_id", "text", F.floor(h / 10).alias("_g")), _w=words).withColumn("_n", F.size("_w"))
+    rows = rows.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int"))
+    rows = rows.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    rest = F.col("_n") - F.col("_a")
+    again = F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), F.slice(again, F.lit(1), rest)), " ")
+    return rows.select("doc_id", F.when(F.col("_a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(repeating(_read(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), "runs", "collapsed")
+    length, start, period = F.col("best.length"), -F.col("best.start"), -F.col("best.period")
+    listed = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n"))), "")
+    return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"), _sha(listed).alias("runs_sha256"), _sha(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1,
     "op2_line_dedup": op2,
@@ -98,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8,
     "op9_simhash_near_dedup": op9,
     "op10_sharding": op10,
+    "op12_phrase_collocations": op12,
+    "op13_periodic_runs": op13,
 }
 
 _TRIM = r"nullif(regexp_replace(line, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g'), '')"
@@ -154,7 +183,21 @@ k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(char_distance, 0) <= 0.17 AND coalesce(word_distance, 0) <= 0.55 AS kept, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM k"""
 
 
+_PHRASES = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, phrase, count(*) AS c FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)) GROUP BY ALL),
+c AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND c >= 10),
+x AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+m AS (SELECT lang, phrase, max(a) AS around FROM x GROUP BY 1, 2),
+k AS (SELECT c.* FROM c LEFT JOIN m USING (lang, phrase) WHERE around IS NULL OR 100 * around < 50 * a),
+s AS (SELECT k.lang, k.phrase, a, l.c AS l, r.c AS r, j, 1000000::HUGEINT * a * a // (l.c::HUGEINT * r.c) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM k) k JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:j], ' ') JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(w[j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM g WHERE k = 1 GROUP BY 1)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b) JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_phrase_collocations": _PHRASES,
     "op1_benchmark_decontamination": _DECONTAMINATION,
     "op3_quality_rules": _quality_sql(),
     "op2_line_dedup": f"""WITH p AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1 HAVING count(*) >= 20),

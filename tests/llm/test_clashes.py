@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import bpe, decontaminate, licenses, line_dedup, pages, personal, quality, queries, repeats, sharding, simhash
+from ledgerloom.llm import bpe, decontaminate, licenses, line_dedup, pages, periodic, personal, quality, queries, repeats, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 INPUT = ["doc_id", "text", "lang", "source", "url", "html"]
@@ -42,6 +42,7 @@ OPERATORS = {
     "pages": (lambda s, d: pages.extract_main(d, text_col="main"), ["main"]),
     "repeats": (lambda s, d: repeats.remove_repeats(d), ["n_bytes", "removed", "kept"]),
     "personal": (lambda s, d: personal.find_personal(d), ["base", "spans"]),
+    "runs": (lambda s, d: periodic.collapse_runs(d), ["n_words", "runs", "collapsed"]),
     "sharding": (lambda s, d: sharding.assign_shards(d, "doc_id", ["a", "b"], 7), ["slot", "shard"]),
     "keep_one": (lambda s, d: simhash.keep_one(d), []),
     "keep_good": (lambda s, d: quality.keep_good(d), []),
