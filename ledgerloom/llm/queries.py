@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, line_dedup, pages, periodic, personal, phrases, quality, repeats, sharding, simhash
+from . import bpe, decontaminate, licenses, line_dedup, pages, periodic, personal, phrases, quality, repeats, sharding, simhash, toxicity
 from .common import held
 
 #: Shards and slots of the placement query.
@@ -88,6 +88,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS, SLOTS)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    index = toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score_toxicity(docs, index)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.transform("evidence", lambda x: x["doc_id"].cast("long")).alias("evidence"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(_read(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -125,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8,
     "op9_simhash_near_dedup": op9,
     "op10_sharding": op10,
+    "op11_toxicity": op11,
     "op12_phrase_collocations": op12,
     "op13_periodic_runs": op13,
 }
