@@ -56,9 +56,9 @@ def _table(frequent: DataFrame, cells: int) -> np.ndarray:
     """The count-min table: two rows of sums, by two halves of each word's hash."""
     h = F.xxhash64("lang", "word")
     halves = F.array(h.bitwiseAND(F.lit(cells - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(cells - 1)) + cells)
-    sums = frequent.select(F.explode(halves.cast("array<int>")).alias("cell"), "n").groupBy("cell").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toPandas()
+    sums = frequent.select(F.explode(halves.cast("array<int>")).alias("cell"), "n").groupBy("cell").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     table = np.zeros(2 * cells, np.int32)
-    table[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    table[np.asarray(sums["cell"])] = np.asarray(sums["n"])
     return table
 
 
