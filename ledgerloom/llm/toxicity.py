@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are texts with labels: at most `most` toxic and `most` clean ones (the ones with the smallest hashes of their
-texts; copies of one text are one example with their mean label). Words are terms if they tell the classes apart
-(chi-squared, at most `terms` of them); their document frequencies come from all documents. An example or document is its TF-IDF vector over these terms, of length one.
+texts; copies of one text are one example with their mean label). Words are terms if toxic examples
+have them twice as often, best by chi-squared (at most `terms` of them); their document frequencies come from all documents. An example or document is its TF-IDF vector over these terms, of length one.
 
 The index lists each term's examples in blocks, with the largest weight of each block. A document bounds its cosine with
 all examples of a block by these maxima, opens blocks from the largest bound down, and stops when its k-th neighbour is
@@ -24,10 +24,10 @@ from .common import Carried, Coded, byte_classes, materialize, slices, spread
 
 #: Bounds of what is fitted: examples of each class, and terms.
 MOST, TERMS = 4000, 4096
-#: Terms stand in so many examples and tell classes apart so well (chi-squared).
-LEAST, TELLING = 5, 15.0
-#: Neighbours that vote, examples in a block, and what a distance of zero counts as.
-NEIGHBOURS, BLOCK, NEAR = 25, 64, 0.05
+#: Terms stand in so many examples and mark the toxic ones so well (chi-squared).
+LEAST, TELLING, OFTENER = 5, 15.0, 2.0
+#: Neighbours that vote, examples in a block, blocks opened first (then twice as many), what a distance of zero counts as.
+NEIGHBOURS, BLOCK, OPENED, NEAR = 25, 64, 4, 0.05
 #: Votes that stand for doubt, in terms of one neighbour's at no distance.
 DOUBT = 0.1
 CHUNK = 1 << 22
@@ -72,22 +72,27 @@ class Index:
     def nearest(self, terms: np.ndarray, times: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples (without `but`) of the largest cosines above zero, and these; of equal ones the first."""
         w = self._unit(terms, times)
-        found, cosines, kth, have = [], [], 0.0, 0
+        found, cosines, kth, have, done, size = [], [], 0.0, 0, 0, OPENED
         bound = w @ self.most[terms] if len(terms) and self.blocks else np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or have >= k and bound[b] < kth - 1e-9:
-                break
-            lo = self.start[b * len(self.idf) + terms]
-            row, nth = spread(self.start[b * len(self.idf) + terms + 1] - lo)
+        order = np.argsort(-bound, kind="stable")
+        order = order[: np.count_nonzero(bound > 0)]
+        while done < len(order) and (have < k or bound[order[done]] >= kth - 1e-9):
+            opened = order[done : done + size]
+            opened = opened[bound[opened] >= (kth - 1e-9 if have >= k else 0)]
+            key = (opened[:, None] * len(self.idf) + terms).ravel()
+            lo = self.start[key]
+            row, nth = spread(self.start[key + 1] - lo)
             at = lo[row] + nth
-            own = np.bincount(self.place[at], self.weight[at] * w[row], BLOCK)
+            own = np.bincount(row // len(terms) * BLOCK + self.place[at], self.weight[at] * w[row % len(terms)], len(opened) * BLOCK)
             near = np.flatnonzero(own > 0)
-            near = near[b * BLOCK + near != but]
-            found.append(b * BLOCK + near)
+            example = opened[near // BLOCK] * BLOCK + near % BLOCK
+            near, example = near[example != but], example[example != but]
+            found.append(example)
             cosines.append(own[near])
             have += len(near)
             if have >= k:
                 kth = np.partition(np.concatenate(cosines), have - k)[have - k]
+            done, size = done + size, size * 2
         if not have:
             return np.zeros(0, np.int64), np.zeros(0)
         example, cosine = np.concatenate(found), np.minimum(np.concatenate(cosines), 1.0)
@@ -170,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, terms: int = TERMS
     size, bad = F.lit(float(had["size"])), F.lit(float(had["bad"]))
     counted = chosen.select("text", "p").mapInArrow(_term_counts, "term binary, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).where(F.col("n") >= LEAST)
     chi = size * F.pow(toxic * (size - bad - n + toxic) - (n - toxic) * (bad - toxic), 2) / (n * (size - n) * bad * (size - bad))
-    telling = counted.where((bad > 0) & (bad < size) & (n < size)).withColumn("chi", chi).where(F.col("chi") >= TELLING)
+    telling = counted.where((bad > 0) & (bad < size) & (n < size) & (toxic * (size - bad) > OFTENER * (n - toxic) * bad)).withColumn("chi", chi).where(F.col("chi") >= TELLING)
     names = [bytes(r["term"]) for r in telling.orderBy(F.desc("chi"), "term").limit(terms).collect()]
     known = {t: i for i, t in enumerate(names)}
     sent = docs.sparkSession.sparkContext.broadcast(known)
