@@ -33,9 +33,22 @@ def is_tbd(c: Column) -> Column:
     return looks_unknown(c) | F.coalesce(F.trim(c) == "??", F.lit(False))
 
 
+#: The placeholders that a sink writes.
+PLACEHOLDERS = ["", "tbd", "—", "-", "n/a", "null", "??"]
+
+
 def is_absent(c: Column) -> Column:
     """Null, blank or one of the placeholders that a sink writes."""
-    return F.coalesce(F.lower(F.trim(c)).isin("", "tbd", "—", "-", "n/a", "null", "??"), F.lit(True))
+    return F.coalesce(F.lower(F.trim(c)).isin(PLACEHOLDERS), F.lit(True))
+
+
+#: What counts as unset where an override says what it expects.
+UNSET = ["", "tbd", "tbc", "—", "-", "n/a", "none", "??"]
+
+
+def is_unset(c: Column) -> Column:
+    """Null, or a placeholder; narrower than looks_unknown, as a price on request is a value that an override can expect."""
+    return F.coalesce(F.lower(F.trim(c)).isin(UNSET), F.lit(True))
 
 
 def sentinel(c: Column, field: str) -> Column:

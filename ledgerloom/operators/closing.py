@@ -81,8 +81,14 @@ def backfill_pins(records: DataFrame, key: str, pages: DataFrame) -> DataFrame:
 
 
 def follow_links(records: DataFrame, cache: DataFrame) -> DataFrame:
-    """Records without coordinates take those of their short map link from the cache (link, lat, lng), and are exact then."""
-    hit = cache.where("lat is not null and lng is not null").select(F.col("link").alias("map_link"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    """Records without coordinates take those of their short map link from the cache (link, lat, lng), and are exact then.
+
+    A link that the cache has with several places gives the smallest of them, so records never multiply; with a column
+    `cached_at` in the cache, the last one cached.
+    """
+    place = F.struct("lat", "lng")
+    one = F.max_by(place, F.struct("cached_at", place)) if "cached_at" in cache.columns else F.min(place)
+    hit = cache.where("lat is not null and lng is not null").groupBy(F.col("link").alias("map_link")).agg(one.alias("_at")).select("map_link", F.col("_at.lat").alias("_lat"), F.col("_at.lng").alias("_lng"))
     j = records.join(hit, "map_link", "left")
     take = F.col("lat").isNull() & F.col("map_link").rlike(SHORT_LINK) & F.col("_lat").isNotNull()
     new = {"lat": F.col("_lat"), "lng": F.col("_lng"), "approx": F.lit(False)}

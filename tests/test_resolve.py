@@ -4,7 +4,7 @@ import pytest
 
 from ledgerloom import catalog
 from ledgerloom.functions.geo import haversine_km
-from ledgerloom.operators import graph, resolve
+from ledgerloom.operators import closing, graph, resolve
 from ledgerloom.plans import records
 from ledgerloom.plans.registry import Tables
 
@@ -49,6 +49,78 @@ def test_token_set_ratio(spark):
     assert [r[0] for r in d.select(resolve.token_set_ratio("x", "y")).collect()] == [100.0, 100.0, 100.0, 0.0]
 
 
+def _alike(x, y):
+    """Shared words, and these with either rest, by the letters in common."""
+    s, t = set(x.split()), set(y.split())
+    core = " ".join(sorted(s & t))
+    sides = [" ".join(filter(None, [core, " ".join(sorted(r))])) for r in (s - t, t - s)]
+    best = []
+    for a, b in ((core, sides[0]), (core, sides[1]), tuple(sides)):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            row = [0, *[max(row[j], 0) if d != c else row[j - 1] + 1 for j, d in enumerate(b, 1)]]
+            for j in range(1, len(b) + 1):
+                row[j] = max(row[j], row[j - 1])
+        best.append((200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0) if core or (a, b) == tuple(sides) else 0.0)
+    return max(best)
+
+
+def test_ratio_is_that_of_common_letters(spark):
+    r = random.Random(8)
+    words = ["raven", "park", "gate", "d1", "vltava", "halls", "hall", "é", "logistics", "x" * 30]
+    pairs = [(" ".join(r.choices(words, k=r.randrange(0, 6))), " ".join(r.choices(words, k=r.randrange(0, 6)))) for _ in range(300)] + [(None, ""), (" ", "a"), ("ab " * 40 + "q" * 90, "ba " * 9 + "qr" * 70)]
+    d = spark.createDataFrame(pairs, "x string, y string")
+    for x, y, full, some in d.select("x", "y", resolve.token_set_ratio("x", "y"), resolve.token_set_ratio("x", "y", 70)).collect():
+        want = _alike(x or "", y or "")
+        assert full == pytest.approx(want), (x, y)
+        assert some == pytest.approx(want) if want >= 70 else some < 70
+
+
+def _first_fit(n, links, vetoes):
+    made = []
+    for i in range(n):
+        home = next((g for g in made if any((m, i) in links for m in g) and not any((m, i) in vetoes for m in g)), None)
+        home.append(i) if home else made.append([i])
+    return {m: g[0] for g in made for m in g}
+
+
+@pytest.mark.parametrize("block", [resolve.BLOCK, 90])
+def test_first_fit_is_the_order_of_records(spark, block):
+    r = random.Random(6)
+    rows, want, base = [], {}, 0
+    for _ in range(60):  # one graph a component, all in one run
+        n, many = r.randrange(1, 14), r.choice([1, 2, 4])
+        pick = lambda m: {(a, b) for _ in range(m) for a, b in [sorted(r.sample(range(n), 2))]} if n > 1 else set()
+        links, vetoes = pick(n * many), pick(r.choice([0, 1, n]))
+        want |= {base + k: base + v for k, v in _first_fit(n, links, vetoes).items()}
+        rows += [(base + a, base + b, False) for a, b in links] + [(base + a, base + b, True) for a, b in vetoes]
+        base += n
+    chain = [(base + i, base + i + 1, False) for i in range(80)]
+    want |= {base + i: base for i in range(81)}
+    got = resolve.first_fit(spark.range(base + 81).withColumnRenamed("id", "seq"), spark.createDataFrame(rows + chain, "a long, b long, veto boolean"), block)
+    assert {x.seq: x.cluster for x in got.collect()} == want
+    assert resolve.first_fit(spark.range(0).withColumnRenamed("id", "seq"), spark.createDataFrame([], "a long, b long, veto boolean")).count() == 0
+
+
+def test_overrides_expect_what_is_held(spark):
+    records = spark.createDataFrame([(1, "a", 1, None, 10.0), (2, "b", 1, "Q", 10.0), (3, "b", 2, "R", 11.0)], "seq long, source string, page int, park string, area double")
+    o = [
+        ("o1", "a", 1, "park", "P", "tbd", False), ("o1", "a", 1, "area", "12", "10", False),  # both unset, one number
+        ("o2", "b", None, "area", "7", "10", True),  # one of two matches holds another value
+        ("o3", "b", 2, "park", "S", "-", False),
+    ]
+    changed, status = resolve.apply_overrides(records, spark.createDataFrame(o, "id string, source string, page int, field string, value string, expect string, multi boolean"), ["park", "area"])
+    assert {r.id: r.status for r in status.collect()} == {"o1": "applied", "o2": "superseded", "o3": "superseded"}
+    assert {r.seq: (r.park, r.area) for r in changed.collect()} == {1: ("P", 12.0), 2: ("Q", 10.0), 3: ("R", 11.0)}
+
+
+def test_repeated_links_of_a_cache_add_no_rows(spark):
+    records = spark.createDataFrame([(1, "https://goo.gl/maps/x", None, None, True)], "seq long, map_link string, lat double, lng double, approx boolean")
+    cache = spark.createDataFrame([("https://goo.gl/maps/x", 1.0, 2.0, 1), ("https://goo.gl/maps/x", 5.0, 6.0, 0)], "link string, lat double, lng double, cached_at int")
+    for rows in (cache, cache.drop("cached_at")):
+        assert [(r.lat, r.lng) for r in closing.follow_links(records, rows).collect()] == [(1.0, 2.0)]
+
+
 def test_overrides(spark):
     records = spark.createDataFrame([(1, "a.pdf", 1, "P", 10.0), (2, "a.pdf", 2, "Q", None), (3, "b.pdf", 1, "R", 5.0)], "seq long, source string, page int, park string, area double")
     o = [("o1", "a.pdf", 1, "area", "12", None, False), ("o2", "a.pdf", None, "park", "Z", None, False), ("o3", "a.pdf", None, "park", "Z", None, True), ("o4", "x.pdf", None, "park", "Z", None, False), ("o5", "b.pdf", 1, "area", "6", "4.0", False)]
