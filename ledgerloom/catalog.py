@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import closing, decisions, enrichment, gates, ordered, readings, reconcile, records, registry, reviews, scalars, spatial  # noqa: F401  (they register their queries)
+from ledgerloom.plans import closing, decisions, enrichment, evidence, gates, ordered, readings, reconcile, records, registry, reviews, scalars, spatial, trackers  # noqa: F401  (they register their queries)
 
 FLAGSHIP = "precedence_merge"
 
