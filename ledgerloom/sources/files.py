@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import email
 import email.policy
-import io
 import re
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from .workbooks import read_workbooks
+
 #: What a file is by its extension.
 ROUTES = {"pdf": "decks", "pptx": "decks", "xlsx": "sheets", "csv": "sheets", "jpg": "images", "jpeg": "images", "png": "images", "eml": "mail", "msg": "mail", "json": "records"}
 
@@ -93,60 +92,9 @@ def _message(path: str, content: bytes) -> tuple:
         return path, None, None, None, None, None, False, f"{type(e).__name__}: {e}"[:300]
 
 
-_CELLS = "path string, sheet string, row int, col int, text string, url string"
-
-
 def read_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Workbooks (.xlsx) as cells: sheet, zero-based row and column, text, link. Files that can't be read have no cells."""
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(p, *c) for p, content in zip(f["path"], f["content"]) for c in _workbook(bytes(content))]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _CELLS.split(", ")])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "content").mapInPandas(parse, _CELLS)
-
-
-def _index(letters: str) -> int:
-    n = 0
-    for c in letters:
-        n = n * 26 + ord(c) - 64
-    return n - 1
-
-
-def _workbook(content: bytes) -> list[tuple]:
-    local = lambda e: e.tag.rpartition("}")[2]
-    inner = lambda e: "".join(t.text or "" for t in e.iter() if local(t) == "t")
-    relation = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    try:
-        z = zipfile.ZipFile(io.BytesIO(content))
-        xml = lambda name: ElementTree.fromstring(z.read(name)) if name in z.namelist() else []
-        shared = [inner(e) for e in xml("xl/sharedStrings.xml") if local(e) == "si"]
-        targets = {r.get("Id"): r.get("Target") for r in xml("xl/_rels/workbook.xml.rels")}
-        out = []
-        for s in (e for e in xml("xl/workbook.xml").iter() if local(e) == "sheet"):
-            name = "xl/" + targets[s.get(relation)].removeprefix("/xl/")
-            links = {r.get("Id"): r.get("Target") for r in xml(re.sub(r"([^/]+)$", r"_rels/\1.rels", name))}
-            root, cells, urls = xml(name), {}, {}
-            for c in (e for e in root.iter() if local(e) == "c"):
-                letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
-                value = next((v.text for v in c if local(v) == "v"), None)
-                text = shared[int(value)] if c.get("t") == "s" and value else inner(c) if c.get("t") == "inlineStr" else value
-                formula = next((f.text or "" for f in c if local(f) == "f"), "")
-                if m := re.match(r'(?i)HYPERLINK\("([^"]+)"', formula):
-                    urls[int(row) - 1, _index(letters)] = m[1]
-                if text:
-                    cells[int(row) - 1, _index(letters)] = text
-            for h in (e for e in root.iter() if local(e) == "hyperlink"):
-                (a, b), (c, d) = [re.match(r"([A-Z]+)(\d+)", x).groups() for x in (h.get("ref").split(":") * 2)[:2]]
-                for row in range(int(b) - 1, int(d)):
-                    for col in range(_index(a), _index(c) + 1):
-                        urls[row, col] = links.get(h.get(relation), h.get("location"))
-            out += [(s.get("name"), r, c, cells.get((r, c)), urls.get((r, c))) for r, c in sorted({*cells, *urls})]
-        return out
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, AttributeError, ValueError, IndexError):
-        return []
+    """Workbooks (.xlsx) as cells: sheet, zero-based row and column, text, link. `read_workbooks` also has the errors."""
+    return read_workbooks(spark, folder).where("error is null").drop("error")
 
 
 def find_header_row(cells: DataFrame, scan: int = 10) -> DataFrame:

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerloom.functions.text import name_variants
+from ledgerloom.operators import headers
 from ledgerloom.sources import files, sinks
+from ledgerloom.sources.workbooks import read_workbooks
 
 
 def test_discovery(spark, tmp_path):
@@ -50,6 +52,64 @@ def test_sheets(spark, tmp_path):
     assert files.find_header_row(cells).first().header_row == 1
 
 
+def _book(path, sheets, rels="", strings=""):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    rel = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets>' + "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, (n, _) in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships {rel}>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        if strings:
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{strings}</sst>")
+        for i, (_, body) in enumerate(sheets):
+            if body is not None:
+                z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {ns}>{body}</worksheet>")
+                z.writestr(f"xl/worksheets/_rels/s{i}.xml.rels", f"<Relationships {rel}>{rels}</Relationships>")
+
+
+def test_odd_workbooks_are_rows_of_errors(spark, tmp_path):
+    link = '<Relationship Id="h" Target="http://x/a"/>'
+    one = '<sheetData><row r="1"><c r="A1"><v>1</v></c><c r="B1"><v>2</v></c></row><row><c><v>3</v></c><c t="inlineStr"><is><t>x</t><rPh><t>hint</t></rPh></is></c></row></sheetData>'
+    _book(tmp_path / "column.xlsx", [("A", one + '<hyperlinks><hyperlink ref="A:A" r:id="h"/></hyperlinks>'), ("B", one + '<hyperlinks><hyperlink ref="$B$2:D4" location="here"/><hyperlink ref="A1:XFD1048576" r:id="h"/></hyperlinks>')], link)
+    _book(tmp_path / "odd.xlsx", [("gone", None), ("bad", "<sheetData><row r='1'><c r='A1'><v>5</v></c></row><row r='2'><c r='?!'><v>1</v></c></row></sheetData>"), ("cut", "<sheetData><row r='1'><c r='A1'><v>6</v></c></row>" + "</x>"), ("fine", one), ("string", "<sheetData><row r='1'><c r='A1' t='s'><v>9</v></c></row></sheetData>")])
+    (tmp_path / "old.xlsx").write_bytes(b"\xd0\xcf\x11\xe0" + b"0" * 600)
+    (tmp_path / "broken.xlsx").write_bytes(b"PK not a zip")
+    (tmp_path / "empty.xlsx").write_bytes(b"")
+    (tmp_path / "~$lock.xlsx").write_bytes(b"")
+    rows = read_workbooks(spark, str(tmp_path)).collect()
+    at = lambda r: r.path.rsplit("/", 1)[1]
+    cells = {(at(r), r.sheet, r.row, r.col, r.text, r.url) for r in rows if r.error is None}
+    plain = [(0, 0, "1"), (0, 1, "2"), (1, 0, "3"), (1, 1, "x")]
+    want = {("column.xlsx", "A", r, c, t, "http://x/a" if c == 0 else None) for r, c, t in plain} | {("odd.xlsx", "fine", r, c, t, None) for r, c, t in plain}
+    want |= {("column.xlsx", "B", r, c, t, "here" if (r, c) == (1, 1) else "http://x/a") for r, c, t in plain}
+    want |= {("column.xlsx", "B", r, c, None, "here") for r in (1, 2, 3) for c in (1, 2, 3) if (r, c) != (1, 1)}
+    assert cells == want | {("odd.xlsx", "bad", 0, 0, "5", None)}
+    errors = {(at(r), r.sheet): r.error for r in rows if r.error}
+    assert set(errors) == {("odd.xlsx", "gone"), ("odd.xlsx", "bad"), ("odd.xlsx", "cut"), ("odd.xlsx", "string"), ("old.xlsx", None), ("broken.xlsx", None), ("empty.xlsx", None)}
+    assert "missing" in errors["odd.xlsx", "gone"] and "encrypted" in errors["old.xlsx", None]
+    assert read_workbooks(spark, "file://" + str(tmp_path / "column.xlsx")).count() == len([w for w in want if w[0] == "column.xlsx"])
+    assert files.read_cells(spark, str(tmp_path)).where("row is null").count() == 0
+
+
+def test_one_task_a_sheet(spark, tmp_path):
+    body = "<sheetData>" + "".join(f"<row r='{i}'><c r='A{i}'><v>{i}</v></c></row>" for i in range(1, 400)) + "</sheetData>"
+    for n in range(2):
+        _book(tmp_path / f"{n}.xlsx", [("A", body), ("B", body)])
+    df = read_workbooks(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 4 and df.count() == 4 * 399
+
+
+def test_trackers_from_cells(spark):
+    said = [["Our longlist", None], ["Scheme", "Promoter", "Developer", "GLA (sq m)", "Rent EUR / month", "Coordinates", "Contact"], ["Alpha", "Old", "", "10,000", "5.50", "50.1234, 14.5678", "x"], ["Beta", "P", "D", "0", "tbd", "", "y"], ["Total", "", "z", "10,000", "", "", ""]]
+    cells = spark.createDataFrame([("b", "s", r, c, t) for r, row in enumerate(said) for c, t in enumerate(row)], "path string, sheet string, row int, col int, text string")
+    got = {(r.row, r.field): (r.value, r.number) for r in headers.read_trackers(cells).collect()}
+    assert got == {(2, "park"): ("Alpha", None), (2, "developer"): ("Old", None), (2, "warehouseArea"): ("10,000", 10000.0), (2, "warehouseRentVal"): ("5.50", 66.0), (2, "lat"): ("50.1234", None), (2, "lng"): ("14.5678", None), (3, "park"): ("Beta", None), (3, "developer"): ("D", None)}
+    report = headers.header_report(cells).first()
+    assert (report.populated, report.mapped, report.rich, report.unmapped) == (7, 6, False, ["Contact"])
+    told = spark.createDataFrame([("b", "s", 6, "landlord"), ("b", "s", 0, "epc"), ("b", "s", 3, "plotArea")], "path string, sheet string, col int, field string")
+    bound = {(r.col): (r.field, r.by, r.rank) for r in headers.bind_columns(cells.where("row = 1").withColumnRenamed("text", "header"), told).collect()}
+    assert bound[6] == ("landlord", "outer", 1) and bound[0] == ("epc", "outer", 1) and bound[2] == ("developer", "name", 1) and bound[1] == ("developer", "name", 2)
+
+
 def test_references_and_names(spark):
     d = spark.createDataFrame([("A", "Z2:AA3"), ("AA", "B1")], "letters string, ref string")
     got = [(r.i, [tuple(x) for x in r.cells]) for r in d.select(files.col_to_index(F.col("letters")).alias("i"), files.expand_ref(F.col("ref")).alias("cells")).collect()]
