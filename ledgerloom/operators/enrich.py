@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.geo import haversine_km
 from ledgerloom.functions.numbers import area_factor
 
+from .selection import medians
+
 
 def cascade(df: DataFrame, key: str, steps: list[tuple[str, DataFrame]], out: str) -> DataFrame:
     """The first step (name, table of key and value) that knows the key gives `out` and its name; else null."""
@@ -22,8 +24,8 @@ def cascade(df: DataFrame, key: str, steps: list[tuple[str, DataFrame]], out: st
 
 def dominant_country(located: DataFrame, cc: str, seq: str, km: float = 1000.0) -> DataFrame:
     """One row: the most frequent country of the places within km of the median place (the first seen of several)."""
-    middle = located.agg(F.median("lat").alias("_lat"), F.median("lng").alias("_lng"))
-    near = located.crossJoin(F.broadcast(middle)).where(haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")) <= km)  # middle: one row
+    lat, lng = (F.lit(m).cast("double") for m in medians(located, ["lat", "lng"]))
+    near = located.where(haversine_km(F.col("lat"), F.col("lng"), lat, lng) <= km)
     counted = near.groupBy(cc).agg(F.count("*").alias("n"), F.min(seq).alias("s"))
     return counted.agg(F.max_by(cc, F.struct("n", -F.col("s"))).alias("dominant"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.geo import CAPS, haversine_km
-from ledgerloom.operators import spatial
+from ledgerloom.operators import selection, spatial
 
 from .registry import Tables, query
 
@@ -89,5 +89,5 @@ def gazetteer_lookup(t: Tables) -> DataFrame:
 @query(f"""WITH {_P}, m AS (SELECT median(lat) AS lat, median(lng) AS lng FROM p), k AS (SELECT p.id, {_KM.replace('q.', 'm.')} AS km FROM p, m) SELECT id, round(km, 4) AS km FROM k WHERE km > 900""")
 def outlier_recheck(t: Tables) -> DataFrame:
     p = _points(t)
-    m = p.agg(F.median("lat").alias("_lat"), F.median("lng").alias("_lng"))  # one row
-    return p.crossJoin(F.broadcast(m)).withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))).where("km > 900").select("id", F.round("km", 4).alias("km"))
+    lat, lng = (F.lit(m).cast("double") for m in selection.medians(p, ["lat", "lng"]))
+    return p.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), lat, lng)).where("km > 900").select("id", F.round("km", 4).alias("km"))
