@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers
-from ledgerloom.operators import readback
+from ledgerloom.operators import decks, readback
 
 from .registry import Tables, query
 
@@ -44,7 +44,7 @@ UNION ALL SELECT d.deck, NULL, 'few records', k::VARCHAR, 'warning' FROM d JOIN
 def record_findings(t: Tables) -> DataFrame:
     """What transcribed records break: pages, plans, claims, rents, areas and places, each rule a row."""
     k, s = F.col("p_partkey"), F.col("s_suppkey")
-    decks = t.supplier.where("s_suppkey % 9 <> 0").select(s.alias("deck"), F.concat(F.lit("deck "), s.cast("string")).alias("source"), F.sequence(F.lit(0), (1 + s % 7).cast("int")).alias("pages"), F.array(F.col("s_acctbal").cast("double"), s * 100.0, F.lit(5000.0)).alias("values"))
+    known = t.supplier.where("s_suppkey % 9 <> 0").select(s.alias("deck"), F.concat(F.lit("deck "), s.cast("string")).alias("source"), F.sequence(F.lit(0), (1 + s % 7).cast("int")).alias("pages"), F.array(F.col("s_acctbal").cast("double"), s * 100.0, F.lit(5000.0)).alias("values"))
     size, number = F.col("p_size").cast("int"), F.floor(k / 250)
     spread = F.array(size % 4, (number % 8).cast("int"), F.when(k % 23 == 0, -1).otherwise(0))
     records = t.part.select(
@@ -53,4 +53,29 @@ def record_findings(t: Tables) -> DataFrame:
         F.when(k % 2 == 0, size * 8.0).alias("rent"), F.lit("€/sq m/yr").alias("rent_unit"), (k * 50.0).alias("area"), F.lit(None).cast("double").alias("plot_area"), F.lit(None).cast("string").alias("area_unit"),
         F.when(k % 7 == 0, 95.0).otherwise(45.0).alias("lat"), F.lit(10.0).alias("lng"), F.when(k % 8 == 0, "rent x 12").alias("note"), (k % 29 == 0).alias("unreadable"),
     )
-    return readback.record_findings(records, decks.select("deck", "source", "pages"), decks.select("deck", "values"))
+    return readback.record_findings(records, known.select("deck", "source", "pages"), known.select("deck", "values"))
+
+
+def _laid_out(t: Tables) -> DataFrame:
+    """Conversations as decks: turns are pages with labels that stand alone, inline ones, or neither; some have contents."""
+    c, n = F.col("conv_id"), F.col("turn")
+    number = F.char_length("text").cast("string")
+    alone = F.concat(F.lit("Warehouse area\n"), number, F.lit(" sq m\nStatus:\nCity\n"), F.when(n % 2 == 0, "tbd").otherwise("Brno"), F.lit("\nRent: "), n.cast("string"))
+    inline = F.concat(F.lit("Owner: ACME "), c.cast("string"), F.lit("\n Site area : "), number, F.lit("\nnothing\ngla\n"))
+    top = F.concat(F.lit("Contents\nPark A"), c.cast("string"), F.lit(" ..... 2\nPark B\t3\nPark C   14\n"))
+    first = F.when((n == 0) & (c % 3 == 0), top)
+    said = F.coalesce(first, F.when((c + n) % 5 < 2, F.when(c % 2 == 0, alone).otherwise(inline)).when((c + n) % 5 == 2, inline).otherwise(F.regexp_replace("text", "[:\r\x0b\x0c]", " ")))
+    return t.conversations.where("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select(c.alias("deck"), n.alias("page"), said.alias("text"))
+
+
+@query("""WITH v AS (SELECT conv_id AS c, turn AS n, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT c, n, length(text) AS size, CASE WHEN n = 0 AND c % 3 = 0 THEN 'top' WHEN (c + n) % 5 < 2 AND c % 2 = 0 THEN 'alone' WHEN (c + n) % 5 < 3 THEN 'inline' ELSE 'text' END AS kind, trim(text) = '' AS blank FROM v),
+f AS (SELECT c, min(n) AS first FROM k WHERE kind <> 'text' OR NOT blank GROUP BY 1), t AS (SELECT k.c FROM k JOIN f ON f.c = k.c AND n = first WHERE kind = 'top'),
+a AS (SELECT c, bool_or(kind = 'alone') AS found FROM k GROUP BY 1), u AS (SELECT k.*, found, row_number() OVER (PARTITION BY k.c ORDER BY n) AS i FROM k JOIN a USING (c) WHERE kind = CASE WHEN found THEN 'alone' ELSE 'inline' END)
+SELECT u.c AS deck, n AS page, CASE WHEN found AND t.c IS NOT NULL THEN ['Park A' || u.c, 'Park B', 'Park C'][i] END AS park,
+  CASE kind WHEN 'alone' THEN CASE WHEN n % 2 = 0 THEN '' ELSE 'city=Brno;' END || 'warehouseArea=' || size || ' sq m;warehouseRent=' || n ELSE 'landlord=ACME ' || u.c || ';plotArea=' || size END AS fields FROM u LEFT JOIN t ON t.c = u.c""")
+def deck_records(t: Tables) -> DataFrame:
+    """Records of decks: pages with labels of their own, named by the contents page in order, or pages with inline labels."""
+    found = decks.deck_records(_laid_out(t))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return found.select("deck", "page", "park", shown.alias("fields"))

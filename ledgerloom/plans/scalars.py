@@ -135,10 +135,14 @@ def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.sha2(text.html_to_text(F.col("html")).cast("binary"), 256).alias("digest"))
 
 
-@query("""SELECT conv_id, turn, trim(text) AS top FROM conversations WHERE text NOT LIKE '%wrote:%' AND text NOT LIKE '%From: %' AND text NOT LIKE '%Original Message%'""")
+_REPLY = r"'(?s)\n\s*(?:On .{1,200} wrote:|-{3,} ?Original Message|From: ).*$', ''"
+
+
+@query(rf"""SELECT conv_id, turn, trim(regexp_replace(text, {_REPLY})) AS top, trim(regexp_replace(text || chr(10) || 'On Monday A. Sender wrote:' || chr(10) || '> older', {_REPLY})) AS answered FROM conversations""")
 def email_top_only(t: Tables) -> DataFrame:
-    plain = t.conversations.where("text not like '%wrote:%' and text not like '%From: %' and text not like '%Original Message%'")
-    return plain.select("conv_id", "turn", text.top_only(F.concat("text", F.lit("\nOn Monday A. Sender wrote:\n> older\nFrom: x"))).alias("top"))
+    """All turns above their first reply marker, as they are and with an older message below them."""
+    answered = F.concat("text", F.lit("\nOn Monday A. Sender wrote:\n> older"))
+    return t.conversations.select("conv_id", "turn", text.top_only(F.col("text")).alias("top"), text.top_only(answered).alias("answered"))
 
 
 @query("""SELECT o_orderkey, greatest(1999, year(o_orderdate)) AS year FROM orders""")

@@ -1,9 +1,11 @@
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import enrich, readback, selection
+from ledgerloom.operators import decks, enrich, readback, selection
+from ledgerloom.sources.slides import read_slides
 
 
 @pytest.mark.parametrize("cells,few", [(1024, 4096), (4, 3), (2, 1)])
@@ -29,10 +31,10 @@ def test_dominant_country_of_nothing(spark):
 SCHEMA = "deck string, record int, page int, image_pages array<int>, plan_page int, plan_stated boolean, hero int, excluded map<int,array<int>>, source string, rent double, rent_unit string, area double, plot_area double, area_unit string, lat double, lng double, note string, unreadable boolean"
 
 
-def findings(spark, rows, decks, values=()):
+def findings(spark, rows, known, values=()):
     base = dict.fromkeys(x.split()[0] for x in SCHEMA.split(", "))
     records = spark.createDataFrame([tuple((base | {"plan_stated": True, "image_pages": [], "unreadable": False} | r).values()) for r in rows], SCHEMA)
-    out = readback.record_findings(records, spark.createDataFrame(decks, "deck string, source string, pages array<int>"), spark.createDataFrame(list(values), "deck string, values array<double>"))
+    out = readback.record_findings(records, spark.createDataFrame(known, "deck string, source string, pages array<int>"), spark.createDataFrame(list(values), "deck string, values array<double>"))
     return {(r.deck, r.record, r.rule, r.detail, r.severity) for r in out.collect()}
 
 
@@ -68,3 +70,34 @@ def test_figures_against_the_text(spark):
         ("d", 1, "plot_area not in text", "777.0", "warning"), ("d", 2, "area of the other unit", "70000.0", "warning"), ("d", 2, "area not in text", "70000.0", "warning"), ("d", 2, "rent not in text", "6.0", "warning"), ("d", 2, "place out of range", None, "error"),
         ("d", 3, "rent of a month", "5.5", "warning"), ("d", 5, "rent out of band", "900.0", "error"),
     }
+
+
+def test_records_of_decks(spark):
+    pages = [
+        ("a", 0, "Contents\nAlpha Park ..... 2\nBeta Park\t3\nGamma   4\nfurther text"), ("a", 1, "Intro"), ("a", 2, "City\r\nBrno\nWarehouse area:\n10,000 sq m\nRent: 5"), ("a", 3, ""), ("a", 4, "Status\nOwner\nGLA\ntbd"), ("a", 5, None),
+        ("b", 0, "City\nWarehouse area\nOffice\n5"), ("b", 1, "Developer\nX\nStatus\nbuilt"), ("b", 2, "Developer\nX\nCity\nOstrava\nLocation\nelsewhere"),
+        ("c", 0, "Owner: ACME\nSite area : 5 ha\nno label here: x"), ("c", 1, "Owner: ACME\nStatus: tbd"),
+        ("d", 0, "nothing"),
+    ]
+    df = spark.createDataFrame(pages + pages[:3], "deck string, page int, text string")
+    got = {(r.deck, r.page): (r.park, dict(r.fields)) for r in decks.deck_records(df).collect()}
+    assert got == {
+        ("a", 2): ("Alpha Park", {"city": "Brno", "warehouseArea": "10,000 sq m", "warehouseRent": "5"}),
+        ("a", 4): ("Beta Park", {}),
+        ("b", 0): (None, {"warehouseArea": "Office"}),
+        ("b", 2): (None, {"developer": "X", "city": "Ostrava"}),
+        ("c", 0): (None, {"landlord": "ACME", "plotArea": "5 ha"}),
+    }
+    assert decks.deck_records(df.limit(0)).count() == 0
+
+
+def test_slides(spark, tmp_path):
+    a, r = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"', 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "d.pptx", "w") as z:
+        z.writestr("ppt/presentation.xml", f'<p xmlns="http://schemas.openxmlformats.org/presentationml/2006/main" {r}><sldIdLst><sldId r:id="b"/><sldId r:id="a"/><sldId r:id="c"/></sldIdLst></p>')
+        z.writestr("ppt/_rels/presentation.xml.rels", '<R><Relationship Id="a" Target="slides/s1.xml"/><Relationship Id="b" Target="/ppt/slides/s2.xml"/><Relationship Id="c" Target="slides/none.xml"/></R>')
+        z.writestr("ppt/slides/s1.xml", f"<s {a}><a:p><a:r><a:t>Ci</a:t></a:r><a:r><a:t>ty</a:t></a:r></a:p><a:p/><a:p><a:r><a:t>Brno</a:t></a:r><a:br/><a:r><a:t>CZ</a:t></a:r></a:p></s>")
+        z.writestr("ppt/slides/s2.xml", f"<s {a}><a:p><a:r><a:t>First</a:t></a:r></a:p></s>")
+    (tmp_path / "x.pptx").write_bytes(b"no zip")
+    got = {(r.path.rsplit("/", 1)[1], r.slide): (r.text, r.error is None) for r in read_slides(spark, str(tmp_path)).collect()}
+    assert got == {("d.pptx", 1): ("First", True), ("d.pptx", 2): ("City\nBrno\nCZ", True), ("d.pptx", 3): (None, False), ("x.pptx", None): (None, False)}
