@@ -120,8 +120,8 @@ def prose(c: Column) -> Column:
 
 
 def saturation_claim(c: Column, claim: str, negation: str) -> Column:
-    """Whether some sentence makes the claim without a negation."""
-    return F.exists(F.split(c, r"(?<=[.!?])\s+"), lambda s: s.rlike(claim) & ~s.rlike(negation))
+    """Whether some sentence (up to a full stop, semicolon or line end) makes the claim without a negation."""
+    return F.exists(F.split(c, r"[.;\n]"), lambda s: s.rlike(claim) & ~s.rlike(negation))
 
 
 def sections(c: Column, level: int = 2) -> Column:
