@@ -9,15 +9,17 @@ from ledgerloom.operators import sheets
 
 from .registry import Tables, query
 
-_K = F.col("k")
+
+def _k() -> Column:
+    return F.col("k")
 
 
 def _if(n: int, some: str, other: str = "") -> Column:
-    return F.when(_K % n == 0, other).otherwise(some)
+    return F.when(_k() % n == 0, other).otherwise(some)
 
 
 def _item(i: int) -> Column:
-    n = _K + i
+    n = _k() + i
     pick = lambda m, *options: F.element_at(F.array(*map(F.lit, options)), (1 + n % m).cast("int"))
     return F.concat(
         F.lit(f"### {i}. Item\nWhat is happening: a\nWhat it means for them: b\nYour way in: c\nDevelopability: "), pick(4, "High", "Medium - maybe", "low", "Unknown"),
@@ -28,15 +30,15 @@ def _item(i: int) -> Column:
 
 
 def _sheets(t: Tables) -> DataFrame:
-    items = F.concat(F.lit(""), *[F.when(_K % 4 >= i, _item(i)).otherwise("") for i in (1, 2, 3)])
+    items = F.concat(F.lit(""), *[F.when(_k() % 4 >= i, _item(i)).otherwise("") for i in (1, 2, 3)])
     text = F.concat(
-        _if(5, "# Outreach angles: X\n"), F.when(_K % 3 == 0, "Researched lately").otherwise("Researched 12 March"), _if(6, ". Listed\n", "\n"), _if(7, "", "a — b\n"), F.lit("## The situation in plain English\nall is said\n"), _if(8, "## Angles\n"), items,
+        _if(5, "# Outreach angles: X\n"), F.when(_k() % 3 == 0, "Researched lately").otherwise("Researched 12 March"), _if(6, ". Listed\n", "\n"), _if(7, "", "a — b\n"), F.lit("## The situation in plain English\nall is said\n"), _if(8, "## Angles\n"), items,
         F.lit("## Jargon buster\n"), _if(9, "## Why this is a live prospect\n"), F.lit("## At a glance\n"), _if(10, "| a | b |\n|---|---|\n", "|---|---|\nno row\n"), _if(11, "## Watch-list\n"),
         _if(13, "", "They have a complete network.\n"), _if(17, "", "It is not a full footprint.\n"), _if(19, "", "RECONCILIATION: RECONCILED\n| PL | inconclusive |\n"), _if(23, "", "We found no sites.\n"),
         _if(3, "", "## Reading the signals\nno evidence of y\n### Bet 1\nWhat would confirm it: a\nWhat would kill it: b\n[FACT] [FACT]\nMove type: c\nPosture: d\n"), _if(12, "", "### Bet 2\nthin\n"), F.lit("## Source Ledger\n"), _if(2, "see ledger.md\n"),
     )
-    ledger = F.concat(F.lit(""), _if(3, "", "| fact | Ageing | "), F.when(_K % 6 == 0, "none |\n").when(_K % 3 == 0, "refresh: none |\n").otherwise(""), _if(14, "", "| https://uk.finance.yahoo.com/x | y |\n"))
-    return t.customer.select(F.col("c_custkey").alias("k")).select(_K.alias("id"), text.alias("text"), ledger.alias("ledger"))
+    ledger = F.concat(F.lit(""), _if(3, "", "| fact | Ageing | "), F.when(_k() % 6 == 0, "none |\n").when(_k() % 3 == 0, "refresh: none |\n").otherwise(""), _if(14, "", "| https://uk.finance.yahoo.com/x | y |\n"))
+    return t.customer.select(F.col("c_custkey").alias("k")).select(_k().alias("id"), text.alias("text"), ledger.alias("ledger"))
 
 
 _V = "CASE WHEN {} THEN 'PASS' ELSE '{}' END"
