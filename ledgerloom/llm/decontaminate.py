@@ -146,7 +146,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
     n_hit counts the words inside any occurrence of a window; a document is contaminated when that is at least one word
     and `least_share` of its words. Columns of these names in docs are replaced. The windows are broadcast by slices of
-    SLICE_WINDOWS; a larger benchmark takes one pass over the documents for each slice.
+    SLICE_WINDOWS; a larger benchmark takes one pass over the documents for each slice. An item without an id hits texts
+    like any other, but has no place in items.
     """
     windows = materialize(item_windows(items, item_col, item_text_col, window, shingle), "windows")
     parts = -(-windows.count() // SLICE_WINDOWS)
