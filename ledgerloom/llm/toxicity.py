@@ -156,7 +156,7 @@ def examples(docs: DataFrame, labels: DataFrame, most: int = MOST, text_col: str
     texts among all labelled ones. Ids and hashes are joined and grouped, and only chosen texts are fetched."""
     hashed = docs.select(F.col("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("text is not null")
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("toxic"), F.count("*").alias("n"))
-    grouped = materialize(hashed.select("doc_id", "h").distinct().join(known, "doc_id").groupBy("h").agg((F.sum(F.col("toxic") * F.col("n")) / F.sum("n")).alias("p"), F.min("doc_id").alias("doc_id")), "labelled-texts")
+    grouped = materialize(hashed.select("doc_id", "h").join(known, "doc_id").dropDuplicates(["doc_id", "h"]).groupBy("h").agg((F.sum(F.col("toxic") * F.col("n")) / F.sum("n")).alias("p"), F.min("doc_id").alias("doc_id")), "labelled-texts")
     counts = grouped.agg(F.count_if(F.col("p") >= 0.5).alias("toxic"), F.count("*").alias("n")).first()
     chosen = grouped.where("p >= 0.5").orderBy("h").limit(most).unionByName(grouped.where("p < 0.5").orderBy("h").limit(most))
     fetched = hashed.join(F.broadcast(chosen), ["doc_id", "h"]).select("text", "p", "h", F.col("doc_id").cast("string").alias("doc_id")).dropDuplicates(["h"])
