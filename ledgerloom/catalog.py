@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import closing, decisions, decks, enrichment, evidence, gates, harvest, ordered, readings, reconcile, records, registry, reviews, scalars, sheets, spatial, trackers  # noqa: F401  (they register their queries)
+from ledgerloom.plans import cells, closing, decisions, decks, enrichment, evidence, gates, harvest, ordered, readings, reconcile, records, registry, reviews, scalars, sheets, spatial, trackers  # noqa: F401  (they register their queries)
 
 FLAGSHIP = "precedence_merge"
 
