@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -167,3 +168,56 @@ def test_the_query_meets_all_pairs(spark):
     p = resolve.prepare(records._parts(Tables(spark, sf)))
     assert sorted((x.a, x.b) for x in got) == met(p, spark)
     assert {x["class"] for x in got} == {"auto", "forbidden", "grey", "no"}
+
+
+def plain_class(a, b):
+    """The class of two prepared records, rule by rule."""
+    differ = lambda x, y: abs(x - y) / max(x, y) if x and y and x > 0 and y > 0 else None
+    over = lambda g, most: g is not None and g > most
+    gap, footed = differ(a.area, b.area), None
+    if (a.unit or "") == (b.unit or ""):
+        footed = gap
+    elif (a.unit, b.unit) == ("sq ft", "sq m"):
+        footed = differ(a.area, b.area and b.area * 10.7639)
+    elif (a.unit, b.unit) == ("sq m", "sq ft"):
+        footed = differ(a.area, b.area and b.area / 10.7639)
+    km = None
+    if None not in (a.lat, a.lng, b.lat, b.lng):
+        p, q, d = math.radians(a.lat), math.radians(b.lat), math.radians(b.lng - a.lng)
+        km = 2 * 6371 * math.asin(min(1, math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(d / 2) ** 2)))
+    if a.source == b.source:
+        bare = a.area is None and b.area is None
+        agree = (a.no_area and b.no_area) or (a.area_text is not None and a.area_text == b.area_text) if bare else gap is not None and gap <= 0.01
+        return "auto" if a.key == b.key and agree else "forbidden"
+    clash = a.dev and b.dev and a.dev != b.dev
+    x, y = set(a.tokens), set(b.tokens)
+    if km is not None and km <= 0.3 and not clash and not over(gap, 0.15):
+        return "auto"
+    if x and y and (x <= y or y <= x) and (a.city == b.city or not a.city or not b.city) and not clash and not over(gap, 0.05):
+        return "auto"
+    lone = (a.park == "") != (b.park == "")
+    if lone and a.city and a.city == b.city and a.dev and a.dev == b.dev and gap is not None and gap <= 0.05:
+        return "auto"
+    ratio = 0 if lone else _alike(a.key, b.key)
+    if ratio >= 88 and not over(gap, 0.15):
+        return "auto"
+    if over(footed, 0.15):
+        return "forbidden"
+    own = x - {*a.city.split(" "), *b.city.split(" ")}
+    return "grey" if (km is not None and km <= 2) or own & y or 70 <= ratio < 88 else "no"
+
+
+def test_classes_are_those_of_the_rules(spark):
+    r = random.Random(12)
+    names = ["raven", "ravens", "vltava", "gate", "gates", "hall", "brno", "logistics", "north", "nord"]
+    rows = [
+        (i, f"s{r.randrange(3)}", " ".join(r.choices(names, k=r.randrange(0, 4))), r.choice(["CTP", "CTPark", "VGP", "tbd", None, "Prologis Park"]), r.choice(["Brno", "Brno venkov", "Corby", "", None]), r.choice(["10,000", "10100", "929", "tbd", None, "12,000 sq m", "about"]), r.choice(["sq m", "sq ft", None]),
+         *r.choice([(None, None), (50 + r.random() / 30, 10 + r.random() / 30)]))
+        for i in range(200)
+    ]
+    p = resolve.prepare(spark.createDataFrame(rows, SCHEMA))
+    known = {x.seq: x for x in p.collect()}
+    got = {(x.a, x.b): x["class"] for x in resolve.classify_pairs(p).collect()}
+    assert len(got) > 1000 and set(got.values()) == {"auto", "forbidden", "grey", "no"}
+    bad = [(k, c, plain_class(known[k[0]], known[k[1]])) for k, c in got.items() if c != plain_class(known[k[0]], known[k[1]])]
+    assert not bad, (len(bad), bad[:3], [known[i] for i in bad[0][0]])
