@@ -17,6 +17,13 @@ def _told(value: Column, numbers: Column) -> Column:
     return F.exists(numbers, lambda n: F.abs(value - n) <= F.greatest(F.lit(0.05), NEAR * F.greatest(F.abs(value), F.abs(n))))
 
 
+def _shown(c: Column) -> Column:
+    """A figure as text, without an exponent where its digits can stand in full."""
+    digits = F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), "0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when((F.abs(c) < 1e16) & (plain.try_cast("double") == c), plain).otherwise(c.cast("string"))
+
+
 def record_findings(records: DataFrame, decks: DataFrame, numbers: DataFrame) -> DataFrame:
     """(deck, record, rule, detail, severity): each rule that a record breaks, and rules of whole decks (record null).
 
@@ -48,14 +55,14 @@ def record_findings(records: DataFrame, decks: DataFrame, numbers: DataFrame) ->
         rule((F.col("plan_page") == page) & ~absent(page), "hero on the plan page", WARNING, page),
         rule(F.array_contains(F.try_element_at("excluded", page), F.col("hero")), "hero excluded", ERROR, F.col("hero")),
         rule((F.col("source") != F.col("_source")) & (F.col("_source") != ""), "other source", WARNING, F.col("source")),
-        rule(~rent.between(*band), "rent out of band", ERROR, rent),
-        rule(rent.between(*band) & metric & (rent < LOW_RENT) & ~yearly, "rent of a month", WARNING, rent),
+        rule(~rent.between(*band), "rent out of band", ERROR, _shown(rent)),
+        rule(rent.between(*band) & metric & (rent < LOW_RENT) & ~yearly, "rent of a month", WARNING, _shown(rent)),
         rule(F.col("lat").isNotNull() & ~F.coalesce(F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180), F.lit(False)), "place out of range", ERROR),
-        rule(asked & rent.between(*band) & ~_told(rent, values) & ~_told(rent / 12, values), "rent not in text", WARNING, rent),
+        rule(asked & rent.between(*band) & ~_told(rent, values) & ~_told(rent / 12, values), "rent not in text", WARNING, _shown(rent)),
         *[x for f in ("area", "plot_area") for x in (
-            rule(~F.col(f).between(*area_band(unit)), f"{f} out of band", WARNING, F.col(f)),
-            rule(magnitude_note(F.col(f), unit).isNotNull(), f"{f} of the other unit", WARNING, F.col(f)),
-            rule(asked & F.col(f).between(*ASKED) & ~_told(F.col(f), values), f"{f} not in text", WARNING, F.col(f)),
+            rule(~F.col(f).between(*area_band(unit)), f"{f} out of band", WARNING, _shown(F.col(f))),
+            rule(magnitude_note(F.col(f), unit).isNotNull(), f"{f} of the other unit", WARNING, _shown(F.col(f))),
+            rule(asked & F.col(f).between(*ASKED) & ~_told(F.col(f), values), f"{f} not in text", WARNING, _shown(F.col(f))),
         )],
     ))
     lists = [each(F.col("image_pages"), lambda p: (p < 0) | absent(p), "image page out of deck", ERROR), each(out_of, lambda p: F.lit(True), "excluded page out of deck", ERROR)]

@@ -72,6 +72,12 @@ def test_figures_against_the_text(spark):
     }
 
 
+def test_large_figures_have_no_exponent(spark):
+    rows = [{"deck": "d", "record": n, "page": 0, "area": a} for n, a in enumerate((9_999_950.0, 10_000_000.0, 123_456_789.25, 1e300))]
+    got = findings(spark, rows, [("d", "", [0])])
+    assert [x[3] for x in sorted(got) if x[2] == "area out of band"] == ["9999950.0", "10000000.0", "123456789.25", "1.0E300"]
+
+
 def test_records_of_decks(spark):
     pages = [
         ("a", 0, "Contents\nAlpha Park ..... 2\nBeta Park\t3\nGamma   4\nfurther text"), ("a", 1, "Intro"), ("a", 2, "City\r\nBrno\nWarehouse area:\n10,000 sq m\nRent: 5"), ("a", 3, ""), ("a", 4, "Status\nOwner\nGLA\ntbd"), ("a", 5, None),
