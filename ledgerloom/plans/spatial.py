@@ -39,12 +39,12 @@ def nearest_poi(t: Tables) -> DataFrame:
 
 @query(f"WITH {_P}, {_Q} SELECT id, name FROM p WHERE NOT EXISTS (SELECT 1 FROM q WHERE {_KM} <= 60)")
 def far_from_all(t: Tables) -> DataFrame:
-    return spatial.anti_within(_points(t), "id", _pois(t), 60).select("id", "name")
+    return spatial.anti_within(_points(t), _pois(t), 60).select("id", "name")
 
 
 @query(f"WITH {_P}, {_Q} SELECT id FROM p WHERE EXISTS (SELECT 1 FROM q WHERE {_KM} <= 60 AND q.seq % 25 <> p.c_nationkey)")
 def near_foreign_city(t: Tables) -> DataFrame:
-    return spatial.semi_within(_points(t), "id", _pois(t), 60, F.col("seq") % 25 != F.col("c_nationkey"), {"seq": "seq"}).select("id")
+    return spatial.semi_within(_points(t), _pois(t), 60, F.col("code") != F.col("c_nationkey"), ["c_nationkey"], {"code": F.col("seq") % 25}).select("id")
 
 
 @query(f"""WITH {_P}, g AS (SELECT c_nationkey AS kind, round_even(lat / (50 / 111.0), 0) AS a, round_even(lng / (50 / 111.0), 0) AS b, name, lat, lng, id FROM p),
