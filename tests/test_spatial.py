@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import spatial
+from ledgerloom.operators import resolve, spatial
 
 N = 200_000
 
@@ -19,3 +19,21 @@ def test_crowded_places_meet_once(spark):
     assert near.groupBy("lat").count().orderBy("lat").collect() == [(50.0, N), (51.0, N)]
     assert spatial.semi_within(left, right, 60, F.col("other") != F.col("code"), ["code"], {"other": F.col("code")}).isEmpty()
     assert spatial.within_km(left, right.where("seq < 4"), 60, {"seq": "seq"}).groupBy("seq", "km").count().orderBy("seq").collect() == [(n, 0.0, N) for n in range(4)]
+
+
+def test_crowded_sources_are_judged_by_sums(spark):
+    k = F.col("id")
+    records = spark.range(N).select(k.alias("seq"), F.lit("a").alias("source"), (k % 2).alias("page"), F.when(k == 7, "odd").otherwise("1.0").alias("area"))
+    o = spark.range(N).select(k, F.lit("a").alias("source"), F.when(k % 2 == 0, k % 4).alias("page"), F.lit("area").alias("field"), k.cast("string").alias("value"), F.when(k % 3 == 0, "01").alias("expect"), (k % 5 != 0).alias("multi"))
+    changed, status = resolve.apply_overrides(records, o, ["area"])
+    want = o.groupBy(F.when(F.col("page") == 2, "stale").when(~F.col("multi"), "ambiguous").when(F.col("page").isNull() & F.col("expect").isNotNull(), "superseded").otherwise("applied").alias("status")).count()
+    assert dict(status.groupBy("status").count().collect()) == dict(want.collect())
+    assert {tuple(r) for r in changed.select("page", "area").distinct().collect()} == {(0, "199999"), (1, "199999")}
+
+
+def test_pages_of_one_override_count_once(spark):
+    records = spark.createDataFrame([(1, "a", 0, "x"), (2, "a", 1, "x"), (3, "b", 0, " TBD ")], "seq long, source string, page long, city string")
+    o = [("1", "a", 0, "y", None, False), ("1", "a", None, "z", "x", False), ("2", "a", 1, "q", "x", False), ("3", "b", None, "w", "n/a", False), ("4", "b", 0, "v", "w", False)]
+    changed, status = resolve.apply_overrides(records, spark.createDataFrame(o, "id string, source string, page long, value string, expect string, multi boolean").withColumn("field", F.lit("city")), ["city"])
+    assert dict(status.collect()) == {"1": "ambiguous", "2": "applied", "3": "applied", "4": "superseded"}
+    assert {r.seq: r.city for r in changed.collect()} == {1: "x", 2: "q", 3: "w"}
