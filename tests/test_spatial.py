@@ -37,3 +37,10 @@ def test_pages_of_one_override_count_once(spark):
     changed, status = resolve.apply_overrides(records, spark.createDataFrame(o, "id string, source string, page long, value string, expect string, multi boolean").withColumn("field", F.lit("city")), ["city"])
     assert dict(status.collect()) == {"1": "ambiguous", "2": "applied", "3": "applied", "4": "superseded"}
     assert {r.seq: r.city for r in changed.collect()} == {1: "x", 2: "q", 3: "w"}
+
+
+def test_one_hot_id_needs_no_window(spark):
+    o = spark.range(4).select(F.when(F.col("id") < 3, "a").alias("id"), F.when(F.col("id") > 0, "s").alias("source"), F.lit("w").alias("why"), F.lit("city").alias("field"), F.lit("v").alias("value"))
+    refused = resolve.refused_overrides(o, ["city"])
+    assert sorted(r.reason for r in refused.collect()) == ["no id", "repeated id", "repeated id", "repeated id"]
+    assert "Window" not in refused._jdf.queryExecution().toString()
