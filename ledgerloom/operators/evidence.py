@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import dealt
+
 #: Fixed value: below this a printed number is a count, not an area.
 LEAST_FIGURE = 1000
 
@@ -127,11 +129,12 @@ def contested_pages(claims: DataFrame) -> DataFrame:
     """(deck, first, last, claimants): stretches of pages that more than one claimant's page ranges cover.
 
     claims: deck, claimant, first, last. Ranges are swept in page order: each opens one claimant's cover and closes it
-    after its last page; a claimant's own ranges are merged first, so overlaps with itself don't count.
+    after its last page; a claimant's own ranges are merged first, so overlaps with itself don't count. Ranges are dealt to
+    all partitions, as the few bytes of each would else put very many into one task's sort.
     """
     before = Window.partitionBy("deck", "claimant").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     new = F.coalesce(F.col("first") > F.max("last").over(before) + 1, F.lit(True))
-    grouped = claims.where("first <= last").withColumn("_new", new.cast("int")).withColumn("_part", F.sum("_new").over(Window.partitionBy("deck", "claimant").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = dealt(claims.where("first <= last"), "deck", "claimant").withColumn("_new", new.cast("int")).withColumn("_part", F.sum("_new").over(Window.partitionBy("deck", "claimant").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
     merged = grouped.groupBy("deck", "claimant", "_part").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     steps = merged.select("deck", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("step")), F.struct((F.col("last") + 1).alias("at"), F.lit(-1).alias("step")))).alias("x")).groupBy("deck", "x.at").agg(F.sum("x.step").alias("step"))
     order = Window.partitionBy("deck").orderBy("at")
