@@ -138,9 +138,14 @@ def _forest(key: np.ndarray, fp: np.ndarray, node: np.ndarray, most: int) -> lis
     return links
 
 
+def _by_shuffle(df: DataFrame) -> DataFrame:
+    """df as a side of joins that never send it through the driver, as small tables of each round otherwise would be."""
+    return df.hint("merge")
+
+
 def _sized(cells: DataFrame) -> DataFrame:
     """cells with `size`, where it is above one; counts are summed by task first, and a hot cell is split in the join."""
-    return cells.join(cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "cell")
+    return cells.join(_by_shuffle(cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")), "cell")
 
 
 def links(nodes: DataFrame, most: int = 3) -> DataFrame:
@@ -186,14 +191,14 @@ def components(pairs: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(_by_shuffle(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # now u > v always: the small neighbours of u, and u itself, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(_by_shuffle(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = materialize(small, "edges")
         # stars only: no node is both a centre and a leaf, and each leaf has one centre
         leaves = new.groupBy("u").agg(F.count("*").alias("n"))
-        if new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty() and leaves.where("n > 1").isEmpty():
+        if new.join(_by_shuffle(new.select(F.col("u").alias("v")).distinct()), "v", "left_semi").isEmpty() and leaves.where("n > 1").isEmpty():
             break
         edges = new
     return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -203,16 +208,16 @@ def _components(marked: DataFrame, most: int) -> DataFrame:
     """(fp, component) for every fingerprint of marked: the smallest fingerprint (as a signed long) that links reach."""
     nodes = marked.select("fp").distinct()
     named = components(links(nodes, most)).select(F.col("node").alias("fp"), "component")
-    return nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    return nodes.join(_by_shuffle(named), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
     """One row per document: its id, `fingerprint` (16 hex digits) and `component_id`, the smallest id of its component."""
     marked = materialize(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", shingle), "fingerprints")
     of = _components(marked, most)
-    least = marked.groupBy("fp").agg(F.min("id").alias("id")).join(of, "fp").groupBy("component").agg(F.min("id").alias("component_id"))
-    named = of.join(least, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = marked.groupBy("fp").agg(F.min("id").alias("id")).join(_by_shuffle(of), "fp").groupBy("component").agg(F.min("id").alias("component_id"))
+    named = of.join(_by_shuffle(least), "component").select("fp", "component_id")
+    return marked.join(_by_shuffle(named), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
@@ -226,6 +231,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(*own.into).withColumn("id", F.col(own.of[id_col]).cast("long")).withColumn("key", key)
     marked = materialize(fingerprints(rows.select("id", "key", F.col(own.of[text_col]).alias("text")), "text", shingle), "fingerprints")
     first = marked.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "key")).alias("first"))
-    stay = first.join(_components(marked, most), "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.*")
-    once = rows.join(stay, ["id", "key"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("id"))).where("nth = 1")
+    stay = first.join(_by_shuffle(_components(marked, most)), "fp").groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    once = rows.join(_by_shuffle(stay), ["id", "key"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("id"))).where("nth = 1")
     return once.select(*own.back).unionByName(rows.where("id is null").select(*own.back))
