@@ -126,6 +126,7 @@ def find_headers(cells: DataFrame, scan: int = 8, fields: dict[str, list[str]] =
 
 
 def _columns(cells: DataFrame, heads: DataFrame, outer: DataFrame | None, fields: dict[str, list[str]], never: dict[str, str]) -> DataFrame:
+    heads = materialize(heads, "heads")  # asked for three times
     header = cells.join(heads.select("path", "sheet", "head"), ["path", "sheet"]).where("row = head").select("path", "sheet", "head", "col", F.col("text").alias("header"))
     return bind_columns(header, outer, fields, never).join(heads.select("path", "sheet", "head"), ["path", "sheet"])
 
@@ -137,18 +138,25 @@ def read_trackers(cells: DataFrame, outer: DataFrame | None = None, scan: int =
     number is the figure of areas, rents and prices; a rent under a monthly header is made annual, which note says.
     Coordinates in one column are split into lat and lng, unless columns of their own have these. Rows of totals, and rows
     with fewer than two fields, are none.
+
+    Cells are read several times, so they are written first. Known cells are shuffled once, by row: what follows needs
+    no more than a row at a time.
     """
+    cells = materialize(cells.select("path", "sheet", "row", "col", "text"), "cells")
     columns = _columns(cells, find_headers(cells, scan, fields, never), outer, fields, never).where("field is not null")
     held = cells.join(columns, ["path", "sheet", "col"]).where(F.col("row") > F.col("head")).select("path", "sheet", "row", "col", "field", "rank", "header", clean_value(F.col("text")).alias("value"))
     figure = normalize_number(F.col("value"))
     known = held.where(~looks_unknown(F.col("value")) & ~(F.col("field").isin(ZERO_IS_UNKNOWN) & F.coalesce(figure == 0, F.lit(False))))
-    own = known.groupBy("path", "sheet", "row", "field").agg(F.min_by(F.struct("value", "col", "header"), "rank").alias("x")).select("path", "sheet", "row", "field", "x.*")
-    at = coords_from_text(F.col("value"))
-    halves = own.where("field = 'latlng'").withColumn("at", at).where("at is not null").select("path", "sheet", "row", F.explode(F.array(F.struct(F.lit("lat").alias("field"), F.col("at.lat").cast("string").alias("value")), F.struct(F.lit("lng").alias("field"), F.col("at.lng").cast("string").alias("value")))).alias("x"), "col", "header")
-    split = halves.select("path", "sheet", "row", "x.field", "x.value", "col", "header").join(own.select("path", "sheet", "row", "field"), ["path", "sheet", "row", "field"], "left_anti")
-    rows = own.where("field <> 'latlng'").unionByName(split)
+    own = known.repartition("path", "sheet", "row").groupBy("path", "sheet", "row", "field").agg(F.min_by(F.struct("value", "col", "header"), "rank").alias("x")).select("path", "sheet", "row", "field", "x.*")
+    at = coords_from_text(F.when(F.col("field") == "latlng", F.col("value")))
+    as_is = F.struct("field", "value", F.lit(False).alias("split"))
+    half = lambda c: F.struct(F.lit(c).alias("field"), F.col("_at")[c].cast("string").alias("value"), F.lit(True).alias("split"))
+    said = F.when(F.col("field") != "latlng", F.array(as_is)).when(F.col("_at").isNotNull(), F.array(half("lat"), half("lng")))
+    rows = own.withColumn("_at", at).select("path", "sheet", "row", F.explode(said).alias("x"), "col", "header").select("path", "sheet", "row", "x.*", "col", "header")
     lead = next(iter(fields))
     w = Window.partitionBy("path", "sheet", "row")
+    has = {c: F.max((F.col("field") == c) & ~F.col("split")).over(w) for c in ("lat", "lng")}
+    rows = rows.withColumns({f"_{c}": x for c, x in has.items()}).where(~F.col("split") | ((F.col("field") == "lat") & ~F.col("_lat")) | ((F.col("field") == "lng") & ~F.col("_lng")))
     total = F.max(F.when(F.col("field") == lead, F.col("value").rlike(r"(?i)^(?:total|sum|average|avg|gesamt|summe|moyenne)\b"))).over(w)
     kept = rows.withColumn("_total", F.coalesce(total, F.lit(False))).withColumn("_n", F.count("*").over(w)).where("_n >= 2 and not _total")
     monthly = (F.col("field") == "warehouseRentVal") & F.lower(F.col("header")).rlike(MONTHLY)
@@ -159,6 +167,7 @@ def read_trackers(cells: DataFrame, outer: DataFrame | None = None, scan: int =
 def header_report(cells: DataFrame, outer: DataFrame | None = None, scan: int = 8, fields: dict[str, list[str]] = FIELDS, never: dict[str, str] = NEVER) -> DataFrame:
     """(path, sheet, head, populated, mapped, rich, unmapped) of each tracker sheet: how many columns have values and how
     many of these name a field, whether RICH fields or more are named, and the headers of the others, sorted."""
+    cells = materialize(cells.select("path", "sheet", "row", "col", "text"), "cells")
     columns = _columns(cells, find_headers(cells, scan, fields, never), outer, fields, never)
     filled = cells.join(columns.select("path", "sheet", "col", "head"), ["path", "sheet", "col"]).where((F.col("row") > F.col("head")) & (F.trim("text") != "")).select("path", "sheet", "col").distinct().withColumn("filled", F.lit(1))
     j = columns.join(filled, ["path", "sheet", "col"], "left")
